@@ -52,35 +52,41 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         length[-1] = n - RUN * (runs - 1)
     best = np.zeros((runs, RUN), dtype=np.uint8)  # selector that packs most ids from here
     top = int(ids.max()) if n else 0
-    where = np.arange(RUN, dtype=np.int16)
     for sel in range(15, 0, -1):
-        bits = int(BITS[sel])
-        if bits < 60 and top < (1 << bits):
-            clear = np.full((runs, RUN), 10_000, dtype=np.int16)
-        else:
-            over = data[:, :RUN] >= np.uint64(1 << bits) if bits else data[:, :RUN] > 0
-            clear = np.where(over, where, np.int16(10_000))
-            clear = np.minimum.accumulate(clear[:, ::-1], axis=1)[:, ::-1]
-        best[clear - where >= COUNTS[sel]] = sel  # past the run's end there are zeros
-    words = np.zeros((runs, 2 * RUN), dtype=np.uint64)
-    at, col, live = np.zeros(runs, dtype=np.int64), np.zeros(runs, dtype=np.int64), np.arange(runs)
-    live = live[length > 0]
+        bits, count = int(BITS[sel]), int(COUNTS[sel])
+        if top < (1 << bits):
+            best[:] = sel
+            continue
+        fits, span = data < np.uint64(1 << bits), 1  # past the run's end there are zeros
+        while span < count and fits.any():
+            shift = min(span, count - span)
+            fits = fits[:, :-shift] & fits[:, shift:]
+            span += shift
+        if span == count:
+            best[fits[:, :RUN]] = sel
+    # The chains of starts, all runs in step; then every selector's words at once.
+    at, col, live = np.zeros(runs, dtype=np.int64), np.zeros(runs, dtype=np.int64), np.flatnonzero(length > 0)
+    steps = []
     while len(live):
-        sels = best[live, at[live]]
+        here = at[live]
+        sels = best[live, here]
+        steps.append((live, here, col[live], sels))
+        at[live] = here + COUNTS[sels]
+        col[live] += 1 + (sels == 0)
+        live = live[at[live] < length[live]]
+    words = np.zeros((runs, 2 * RUN), dtype=np.uint64)
+    if steps:
+        run, start, to, sels = map(np.concatenate, zip(*steps, strict=True))
+        flat, start = data.ravel(), run * data.shape[1] + start
         for sel in np.unique(sels):
-            rows = live[sels == sel]
-            count, bits = int(COUNTS[sel]), int(BITS[sel])
+            rows = np.flatnonzero(sels == sel)
             if sel == 0:
-                words[rows, col[rows] + 1] = data[rows, at[rows]]
-                col[rows] += 1
-            else:
-                value = np.full(len(rows), np.uint64(int(sel) << 60))
-                for k in range(count if bits else 0):
-                    value |= data[rows, at[rows] + k] << np.uint64(k * bits)
-                words[rows, col[rows]] = value
-            col[rows] += 1
-            at[rows] += count
-        live = live[at[live] < length[live]]
+                words[run[rows], to[rows] + 1] = flat[start[rows]]
+                continue
+            value = np.full(len(rows), np.uint64(int(sel) << 60))
+            for k in range(int(COUNTS[sel]) if BITS[sel] else 0):
+                value |= flat[start[rows] + k] << np.uint64(k * int(BITS[sel]))
+            words[run[rows], to[rows]] = value
     keep = np.arange(2 * RUN) < col[:, None]
     offsets = np.concatenate([[0], np.cumsum(col)])[:-1] if runs else np.zeros(0)
     return words[keep], offsets.astype(np.int32)
@@ -110,7 +116,7 @@ def unpack(words: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
     return out[:, :RUN].ravel()[:n]
 
 
-def encode_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, block_ids: int = 200_000) -> DataFrame:
+def encode_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, block_ids: int = 400_000) -> DataFrame:
     """Block rows of all documents: range-partitioned and sorted by ``doc_id``, one shard a partition."""
     tokenizer = tokenizer or tokenizer_path()
     end = np.array([end_id], dtype="<u4").tobytes()

@@ -10,14 +10,13 @@ from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+from array import array
 
 _DOUBLE = re.compile(r"\s\s")
 _CUT = re.compile(r"(?= )(?<=\S)")
 
 #: Words kept by a Python worker; when full the cache starts anew.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_000_000
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -26,58 +25,111 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte: printable ones for themselves, the others from 256 up."""
+    out, spare = [], 256
+    for byte in range(256):
+        if 33 <= byte <= 126 or 161 <= byte <= 172 or byte >= 174:
+            out.append(chr(byte))
+        else:
+            out.append(chr(spare))
+            spare += 1
+    return out
+
+
+def _bytes(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
+
+
+class _Pieces(dict):
+    """Ids of the pieces that the pattern cuts."""
+
+    def __init__(self, merge):
+        self.merge = merge
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self[piece] = self.merge(piece)
+        return ids
+
+
+class _Words(dict):
+    """Ids of words, each read with ``prefix`` before it; words across lines are not kept."""
+
+    def __init__(self, prefix: str, merge, pieces: _Pieces, cut):
+        self.prefix, self.merge, self.pieces, self.cut = prefix, merge, pieces, cut
+
+    def __missing__(self, word: str) -> bytes:
+        if word.isalpha():  # one piece
+            ids = self[word] = self.merge(self.prefix + word)
+            return ids
+        ids = b"".join(map(self.pieces.__getitem__, self.cut(self.prefix + word)))
+        if "\n" not in word:
+            self[word] = ids
+        return ids
+
+
 class WordCache:
     """Encodes whole texts to little-endian unsigned 32-bit ids."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import public_tokenizers
+        import regex
         from tokenizers import Tokenizer
 
-        self.path = path
         self.tok = Tokenizer.from_file(path)
-        self.spaced: dict[str, bytes] = {}
-        self.bare: dict[str, bytes] = {"": b""}
-        self.newline = self._encode(["\n"])[0]
-
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        out = self.tok.encode_batch_fast(pieces, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in out]
-
-    def _learn(self, cache: dict[str, bytes], words: set[str], prefix: str) -> None:
-        need = list(words - cache.keys())
-        for at in range(0, len(need), 20_000):
-            part = need[at : at + 20_000]
-            cache.update(zip(part, self._encode([prefix + w for w in part]), strict=True))
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.cut = regex.compile(public_tokenizers.PATTERN).findall
+        self.letters = dict(enumerate(byte_letters()))
+        self.model = self.tok.model
+        self._reset()
+
+    def _reset(self) -> None:
+        self.pieces = _Pieces(self._merge)
+        self.spaced = _Words(" ", self._merge, self.pieces, self.cut)
+        self.bare = _Words("", self._merge, self.pieces, self.cut)
+
+    def _merge(self, piece: str) -> bytes:
+        spelt = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
+        return _bytes([t.id for t in self.model.tokenize(spelt)])
+
+    def _simple(self, text: str) -> bool:
+        """Whether no two white-space characters meet in it and none but spaces and line breaks occur."""
+        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
+            return False
+        return text.replace("\n", "").isprintable() or not _DOUBLE.search(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.spaced) + len(self.bare) > CACHE_WORDS:
-            self.spaced, self.bare = {}, {"": b""}
-        plans: list[tuple[bool, list]] = []
-        spaced: set[str] = set()
-        bare: set[str] = set()
-        for text in texts:
-            if _DOUBLE.search(text):
-                pieces = _CUT.split(text)
-                bare.update(pieces)
-                plans.append((False, pieces))
-            else:
-                lines = [line.split(" ") for line in text.split("\n")]
-                for words in lines:
-                    bare.add(words[0])
-                    spaced.update(words[1:])
-                plans.append((True, lines))
-        self._learn(self.spaced, spaced, " ")
-        self._learn(self.bare, bare, "")
-        with_space, alone, newline = self.spaced.__getitem__, self.bare.__getitem__, self.newline
+        if len(self.spaced) + len(self.pieces) > CACHE_WORDS:
+            self._reset()
+        spaced, bare = self.spaced.__getitem__, self.bare.__getitem__
         out = []
-        for plain, parts in plans:
-            if plain:
-                out.append(newline.join(alone(w[0]) + b"".join(map(with_space, w[1:])) for w in parts))
+        for text in texts:
+            if any(s in text for s in self.special):
+                out.append(_bytes(self.tok.encode(text, add_special_tokens=False).ids))
+            elif not self._simple(text):
+                out.append(b"".join(map(bare, _CUT.split(text))))
             else:
-                out.append(b"".join(map(alone, parts)))
+                words = text.split(" ")
+                words[0] = bare(words[0])
+                words[1:] = map(spaced, words[1:])
+                out.append(b"".join(words))
         return out
 
 
+def text_blocks(batch, text: str = "text", chars: int = 4_000_000):
+    """Slices of an Arrow batch of bounded text size, as (first row, texts); null is empty."""
+    texts, first, size = [], 0, 0
+    for i, value in enumerate(batch.column(batch.schema.get_field_index(text)).to_pylist()):
+        texts.append(value or "")
+        size += len(value or "")
+        if size >= chars:
+            yield first, texts
+            first, texts, size = i + 1, [], 0
+    if texts:
+        yield first, texts
+
+
 _WORKER: dict[str, WordCache] = {}
 
 
