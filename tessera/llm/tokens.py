@@ -82,9 +82,9 @@ class WordCache:
         self.cut = regex.compile(public_tokenizers.PATTERN).findall
         self.letters = dict(enumerate(byte_letters()))
         self.model = self.tok.model
-        self._reset()
+        self.reset()
 
-    def _reset(self) -> None:
+    def reset(self) -> None:
         self.pieces = _Pieces(self._merge)
         self.spaced = _Words(" ", self._merge, self.pieces, self.cut)
         self.bare = _Words("", self._merge, self.pieces, self.cut)
@@ -93,6 +93,10 @@ class WordCache:
         spelt = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
         return _bytes([t.id for t in self.model.tokenize(spelt)])
 
+    def word(self, word: str) -> bytes:
+        """Ids of a word after a space."""
+        return self.spaced[word]
+
     def _simple(self, text: str) -> bool:
         """Whether no two white-space characters meet in it and none but spaces and line breaks occur."""
         if "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
@@ -101,7 +105,7 @@ class WordCache:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.spaced) + len(self.pieces) > CACHE_WORDS:
-            self._reset()
+            self.reset()
         spaced, bare = self.spaced.__getitem__, self.bare.__getitem__
         out = []
         for text in texts:
