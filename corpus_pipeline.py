@@ -11,19 +11,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontam, neardup, packing, quality
-from tessera.llm.util import materialize
+from tessera.llm.util import free_name, materialize
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier of operator 7 scores 0.5 or more."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.score_documents(docs, labels, keep=True).where("_score >= 0.5").drop("_score")
+    return quality.score_documents(docs, labels, keep=0.5)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five words, 0.8), that of the least doc_id."""
     kept = neardup.near_duplicates(docs, shingle=5, percent=80).where("kept OR doc_id IS NULL").select("doc_id").distinct()
-    return docs.join(kept.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id", "text"])
+    name = free_name(docs, "_kept")
+    return docs.join(kept.withColumnRenamed("doc_id", name), F.col("doc_id").eqNullSafe(F.col(name)), "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.util import ascii_lower, columns, materialize
+from tessera.llm.util import ascii_lower, columns, free_name, materialize
 
 #: Everything of ASCII but digits and letters splits words; all else belongs to them.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -120,7 +120,7 @@ def clean_rows(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame
     Row numbers of the index would have to be those of another scan, so the
     verdict is joined by the text's hash: equal texts have equal verdicts.
     """
-    spare = columns(docs, doc_id="long", text="string").select(F.col("doc_id"), F.col("text"))
-    keyed = spare.select(F.coalesce(F.xxhash64("text", F.lit(0)), F.lit(0)).alias("doc_id"), "text")
-    bad = decontaminate(keyed, items, window).where("contaminated").select(F.col("doc_id").alias("_text")).distinct()
-    return docs.withColumn("_text", F.coalesce(F.xxhash64("text", F.lit(0)), F.lit(0))).join(bad, "_text", "left_anti").drop("_text")
+    name = free_name(docs, "_text")
+    key = F.coalesce(F.xxhash64("text", F.lit(0)), F.lit(0))
+    bad = decontaminate(columns(docs, text="string").select(key.alias("doc_id"), "text"), items, window).where("contaminated").select(F.col("doc_id").alias(name)).distinct()
+    return docs.withColumn(name, key).join(bad, name, "left_anti").drop(name)

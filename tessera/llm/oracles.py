@@ -28,11 +28,11 @@ x AS (
          CASE WHEN m.role = s.participant THEN 1 ELSE 0 END AS mask
   FROM m JOIN s ON m.conv_id IS NOT DISTINCT FROM s.conv_id),
 y AS (
-  SELECT *, coalesce(sum(length(head) + length(text) + 9) OVER (PARTITION BY conv_id, participant, segment ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at
+  SELECT *, coalesce(sum(length(head) + length(text) + 9) OVER (PARTITION BY conv_id, participant, segment ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos
   FROM x)
 SELECT conv_id, participant, segment,
        string_agg(head || text || chr(10) || '<|end|>' || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS rendered,
-       string_agg((at + length(head)) || ':' || (at + length(head) + length(text)) || ':' || mask, ',' ORDER BY turn NULLS FIRST, role, text) AS spans,
+       string_agg((pos + length(head)) || ':' || (pos + length(head) + length(text)) || ':' || mask, ',' ORDER BY turn NULLS FIRST, role, text) AS spans,
        count(*)::BIGINT AS n_messages, sum(mask)::BIGINT AS n_trained
 FROM y GROUP BY conv_id, participant, segment
 """
@@ -46,10 +46,10 @@ win AS (
   SELECT DISTINCT item, list_slice(w, s, s + 9) AS terms
   FROM (SELECT item, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS s FROM b WHERE len(w) > 0)),
 sizes AS (SELECT DISTINCT len(terms) AS n FROM win),
-at AS (
+places AS (
   SELECT r, s, n, list_slice(w, s, s + n - 1) AS terms
   FROM (SELECT r, w, n, unnest(generate_series(1, len(w) - n + 1)) AS s FROM d, sizes WHERE len(w) >= n)),
-hit AS (SELECT a.r, a.s, a.n, win.item FROM at a JOIN win ON a.terms = win.terms),
+hit AS (SELECT a.r, a.s, a.n, win.item FROM places a JOIN win ON a.terms = win.terms),
 marked AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(generate_series(s, s + n - 1)) AS p FROM hit) GROUP BY r),
 named AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM hit WHERE item IS NOT NULL) GROUP BY r)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(m.n_hit, 0)::BIGINT AS n_hit, coalesce(n.n_items, 0)::BIGINT AS n_items,

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.neardup import word_hashes
 from tessera.llm.tokens import text_blocks
-from tessera.llm.util import columns
+from tessera.llm.util import columns, free_name
 
 PASSAGE = 768
 SAMPLE = 1500
@@ -157,8 +157,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     return fit([np.frombuffer(r["bag"], dtype=np.float32).reshape(-1, WIDTH) for r in rows], y, weight)
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep: bool = False) -> DataFrame:
-    """doc_id, held_out, score, predicted; with ``keep`` the documents' own columns and ``_score``."""
+def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep: float | None = None) -> DataFrame:
+    """doc_id, held_out, score, predicted; with ``keep`` the documents of that score at least, with all their columns."""
     params = train(docs, labels, sample)
 
     def scores(texts: list[str]) -> np.ndarray:
@@ -166,15 +166,17 @@ def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, ke
             return np.full(len(texts), float(params["share"]))
         return forward(params, *passage_features(texts))["score"].astype(np.float64)
 
-    if keep:
+    if keep is not None:
+        name = free_name(docs, "_score")
+        at = docs.columns.index("text")
 
         def run_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                got = [scores(texts) for _, texts in text_blocks(batch)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(got) if got else [], pa.float64())], names=[*batch.schema.names, "_score"])
+                got = [scores(texts) for _, texts in text_blocks(pa.RecordBatch.from_arrays([batch.column(at)], names=["text"]))]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(got) if got else [], pa.float64())], names=[*batch.schema.names, name])
 
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-        return docs.mapInArrow(run_all, f"{fields}, _score double")
+        return docs.mapInArrow(run_all, f"{fields}, `{name}` double").where(F.col(name) >= keep).drop(name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

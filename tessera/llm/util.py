@@ -44,3 +44,11 @@ def ascii_lower(col):
 def columns(df: DataFrame, **types: str) -> DataFrame:
     """Only the named columns, cast; extra columns never reach an operator."""
     return df.select(*[F.col(f"`{c}`").cast(t).alias(c) for c, t in types.items()])
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have yet, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
