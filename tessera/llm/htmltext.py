@@ -110,7 +110,12 @@ def main_text(page: str, width: int = 3, threshold: int = 86) -> str:
         surge = i
         while i < n and (sums[i] > least or weights[i] > least):
             i += 1
-        kept += [lines[k][0] for k in range(surge, i) if weights[k]]
+        dive = i
+        while surge < dive and weights[surge] < least / 2:  # short lines that a window only reached over
+            surge += 1
+        while surge < dive and weights[dive - 1] < least / 2:
+            dive -= 1
+        kept += [lines[k][0] for k in range(surge, dive) if weights[k]]
     return "\n".join(kept)
 
 
