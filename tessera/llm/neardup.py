@@ -9,7 +9,8 @@ set's signature is the column-wise minimum of slices of one table.
    signature and band keys.  Equal sets are one class from here on.
 2. Bounds: a set's shingles that occur in any other class with a common bucket
    are all it can share.  So a heavily edited copy, many of whose shingles are
-   its own, meets no partner.
+   its own, meets no partner.  They are counted by parts of the hash range: two
+   sets share at most the sum, over the parts, of the lesser count.
 3. Star rounds: in each, a share of the bands links its buckets' classes to a few
    classes of the bucket (its most typical one among them), where both are of
    different components as yet.  Pairs that the bounds or signatures rule out are
@@ -36,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.tokens import text_blocks
@@ -49,8 +50,10 @@ STAR_ROUNDS = 2
 #: A bucket's centers are its least classes by node XOR turn, other ones each round.
 _TURNS = [[0, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D], [0x369DEA0F31A53F85, 0x27BB2EE687B0B0FD, 0x1B873593CC9E2D51]]
 #: Coordinates (their low four bits) that a link's classes have in common at least.  At a
-#: similarity of 0.8 they have 130 of 160 on average, with a deviation of 4.9: about one link in a hundred thousand has fewer.
-SKETCH = 108
+#: similarity of 0.8 they have 130 of 160 on average, with a deviation of 4.9: this is over six deviations below.
+SKETCH = 100
+#: Parts of the hash range in which shared shingles are counted; three counts of 21 bits fill a number.
+PARTS, FIELD = 33, 21
 NIBBLES = 4 * np.arange(16, dtype=np.int64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)  # odd: multiplies without loss
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -153,14 +156,22 @@ def set_digest(values: np.ndarray) -> int:
     return int(mix(np.array([total]))[0] >> np.uint64(1))
 
 
+def part_counts(values: np.ndarray) -> list[int] | None:
+    """How many hashes lie in each part, three counts a number; none for sets too large for the fields."""
+    if len(values) >= 1 << FIELD:
+        return None
+    counts = np.bincount((values % np.uint64(PARTS)).astype(np.int64), minlength=PARTS).reshape(-1, 3)
+    return (counts << (FIELD * np.arange(3))).sum(axis=1).tolist()
+
+
 def sketch(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, n_shingles, node, sign, keys), written to the shared folder."""
+    """(doc_id, n_shingles, node, sign, keys, parts), written to the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
             for first, texts in text_blocks(batch):
-                sizes, nodes, signs, keys = [], [], [], []
+                sizes, nodes, signs, keys, parts = [], [], [], [], []
                 for values in shingle_sets(texts, shingle):
                     sizes.append(len(values))
                     if len(values):
@@ -168,14 +179,16 @@ def sketch(docs: DataFrame, shingle: int) -> DataFrame:
                         nodes.append(set_digest(values))
                         signs.append(((sign & 0xF).astype(np.int64).reshape(-1, 16) << NIBBLES).sum(axis=1))
                         keys.append(band_keys(sign))
+                        parts.append(part_counts(values))
                     else:
                         nodes.append(None)
                         signs.append(None)
                         keys.append(None)
-                yield pa.RecordBatch.from_arrays([ids.slice(first, len(texts)), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(signs, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "node", "sign", "keys"])
+                        parts.append(None)
+                yield pa.RecordBatch.from_arrays([ids.slice(first, len(texts)), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(signs, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "node", "sign", "keys", "parts"])
 
     rows = columns(docs, doc_id="long", text="string")
-    return materialize(rows.mapInArrow(run, "doc_id long, n_shingles long, node long, sign array<long>, keys array<long>"), "sketch")
+    return materialize(rows.mapInArrow(run, "doc_id long, n_shingles long, node long, sign array<long>, keys array<long>, parts array<long>"), "sketch")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -214,8 +227,8 @@ def confirm(docs: DataFrame, pairs: DataFrame, classes: DataFrame, shingle: int,
     shape = "a long, b long"
     for side in "ab":
         if f"{side}_sign" not in pairs.columns:
-            pairs = pairs.join(classes.select(F.col("node").alias(side), F.col("sign").alias(f"{side}_sign")), side)
-    pairs = materialize(pairs.where(alike()).select("a", "b"), "candidates")
+            pairs = pairs.join(classes.select(F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("sign", "parts", "size")]), side)
+    pairs = materialize(pairs.where(alike()).where(meets(percent)).select("a", "b"), "candidates")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = materialize(full_sets(docs, classes.join(nodes, "node", "left_semi").select("doc_id", "node"), shingle), "sets")
     for side in "ab":
@@ -276,6 +289,19 @@ def reachable(percent: int):
     return most * 100 >= (F.col("a_size") + F.col("b_size") - most) * percent
 
 
+def meets(percent: int):
+    """Whether a and b could be similar enough, by the lesser of their shared shingles in each part."""
+    mask = F.lit((1 << FIELD) - 1)
+
+    def least(x: Column, y: Column) -> Column:
+        fields = [[F.shiftrightunsigned(z, FIELD * i).bitwiseAND(mask) for z in (x, y)] for i in range(3)]
+        return F.least(*fields[0]) + F.least(*fields[1]) + F.least(*fields[2])
+
+    most = F.aggregate(F.zip_with("a_parts", "b_parts", least), F.lit(0).cast("long"), lambda n, x: n + x)
+    bound = most * (100 + percent) >= (F.col("a_size") + F.col("b_size")) * percent
+    return F.col("a_parts").isNull() | F.col("b_parts").isNull() | bound
+
+
 def alike():
     """Whether the signatures of a and b agree in at least ``SKETCH`` coordinates."""
     differ = F.lit(0)
@@ -288,7 +314,7 @@ def alike():
 
 
 def shared_sizes(docs: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
-    """(node, shared): how many of a set's shingles occur in any other of these sets.
+    """(node, shared, parts): how many of a set's shingles occur in any other of these sets, in all and by parts.
 
     No two sets have more in common than that, so a heavily edited copy, most of
     whose shingles are its own, meets no partner at all.
@@ -301,8 +327,15 @@ def shared_sizes(docs: DataFrame, classes: DataFrame, shingle: int) -> DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), node), pa.int64()), pa.array(found, pa.int64())], names=["node", "value"])
 
     values = full_sets(docs, classes.select("doc_id", "node"), shingle).mapInArrow(single, "node long, value long")
-    own = values.groupBy("value").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1").groupBy("node").agg(F.count("*").alias("own"))
-    return classes.select("node", "n_shingles").join(own, "node", "left").select("node", (F.col("n_shingles") - F.coalesce("own", F.lit(0))).alias("shared"))
+    own = values.groupBy("value").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
+    # The part of a hash read as unsigned: 2**64 is 16 more than a multiple of 33.
+    part = F.pmod(F.pmod("value", F.lit(PARTS)) + F.when(F.col("value") < 0, F.lit((1 << 64) % PARTS)).otherwise(F.lit(0)), F.lit(PARTS)).cast("int")
+    unit = F.element_at(F.lit([1 << FIELD * i for i in range(3)]), F.col("part") % 3 + 1)
+    own = own.select("node", part.alias("part")).select("node", F.floor(F.col("part") / 3).alias("at"), unit.alias("one"))
+    own = own.groupBy("node").agg(F.count("*").alias("own"), F.array(*[F.coalesce(F.sum(F.when(F.col("at") == i, F.col("one"))), F.lit(0).cast("long")) for i in range(PARTS // 3)]).alias("own_parts"))
+    found = classes.select("node", "n_shingles", "parts").join(own, "node", "left")
+    left = F.when(F.col("own").isNull(), F.col("parts")).otherwise(F.zip_with("parts", "own_parts", lambda x, y: x - y))
+    return found.select("node", (F.col("n_shingles") - F.coalesce("own", F.lit(0))).alias("shared"), left.alias("parts"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -312,15 +345,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     # One row a class: the row of its least doc_id.
     least = filled.groupBy("node").agg(F.min("doc_id").alias("least_id")).withColumnRenamed("node", "least_node")
     classes = filled.join(least, (F.col("node") == F.col("least_node")) & F.col("doc_id").eqNullSafe(F.col("least_id")))
-    classes = materialize(classes.select("node", "doc_id", "n_shingles", "sign", "keys").dropDuplicates(["node"]), "classes")
+    classes = materialize(classes.select("node", "doc_id", "n_shingles", "sign", "keys", "parts").dropDuplicates(["node"]), "classes")
 
     # Classes that share a bucket, and what each could have in common with any other.
     members = classes.select(F.posexplode("keys").alias("band", "key"), "node", F.col("n_shingles").alias("size"))
     crowded = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     members = materialize(members.join(crowded, "key", "left_semi"), "crowded")
     crowd = materialize(classes.join(members.select("node").distinct(), "node", "left_semi"), "crowd")
-    shared = shared_sizes(docs, crowd, shingle)
-    members = materialize(members.join(shared, "node").where((F.col("shared") * 100 >= F.col("size") * percent)), "members")
+    shared = materialize(shared_sizes(docs, crowd, shingle), "shared")
+    crowd = materialize(crowd.drop("parts").withColumnRenamed("n_shingles", "size").join(shared, "node"), "bounded")
+    members = materialize(members.join(shared.select("node", "shared"), "node").where((F.col("shared") * 100 >= F.col("size") * percent)), "members")
 
     links, roots = None, None
     for some in range(STAR_ROUNDS):
@@ -337,10 +371,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
             roots = connect(links)
 
     rest = with_roots(members, roots)
-    rest = materialize(rest.join(mixed_buckets(rest).select("key"), "key", "left_semi").join(crowd.select("node", "keys", "sign"), "node"), "open")
+    rest = materialize(rest.join(mixed_buckets(rest).select("key"), "key", "left_semi").join(crowd.select("node", "keys", "sign", "parts"), "node"), "open")
     pairs = sided(rest, "a").join(sided(rest, "b"), "key").where("a < b AND a_root <> b_root").where(reachable(percent))
-    pairs = pairs.where(alike()).where(F.col("key") == F.array_intersect("a_keys", "b_keys")[0])  # each pair in one bucket
-    found = confirm(docs, pairs.select("a", "b", "a_sign", "b_sign"), crowd, shingle, percent)
+    pairs = pairs.where(alike()).where(meets(percent)).where(F.col("key") == F.array_intersect("a_keys", "b_keys")[0])  # each pair in one bucket
+    found = confirm(docs, pairs.select("a", "b", *[f"{side}_{c}" for side in "ab" for c in ("sign", "parts", "size")]), crowd, shingle, percent)
     if found.limit(1).count():
         roots = connect(links.union(found))
 
