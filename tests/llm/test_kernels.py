@@ -108,3 +108,30 @@ def test_attention_gradients_and_scores():
     whole = lm.Scorer({k: v.astype(np.float32) for k, v in p.items()}, kind, share, inputs).score(texts)
     alone = np.take_along_axis(lm.log_softmax(lm.attend(p, x, seen)["logits"]), y[..., None], 2)[..., 0]
     assert whole.sum() == pytest.approx((alone * real).sum() / np.log(10) + share[ids].sum(), rel=1e-4)
+
+
+def test_word_tables_are_distributions():
+    counts, begins = np.arange(60), np.arange(60) < 30
+    kind, share, inputs = lm.classes_of(counts, begins)
+    spell = lambda w: np.array([int(x) for x in w.split("-")], dtype="<u4").tobytes()
+    known = {"1-40": 5, "1-40-41": 2, "7": 9, "29-59": 1}
+    seen, rows, prior = lm.word_tables(known, spell, kind, counts)
+    assert np.exp(prior).sum(axis=1) == pytest.approx(np.ones(len(prior)), abs=1e-5)
+    shares = lm.WordShares(seen, kind, share, spell)
+    for before, ids in (("", np.flatnonzero(begins)), ("1-40-", np.flatnonzero(~begins))):
+        total = np.zeros(lm.CLASSES)
+        for i in ids:
+            total[kind[i]] += 10 ** (shares[f"{before}{i}"] - (shares[before[:-1]] if before else 0))
+        assert total[np.unique(kind[ids])] == pytest.approx(1, abs=1e-4)
+    assert np.frombuffer(lm.WordRows(rows, spell)["1-40"], dtype="<u4").tolist() == [rows[spell("1")], rows[spell("1-40")]]
+    assert np.frombuffer(lm.WordRows(rows, spell)["8"], dtype="<u4").tolist() == [8]
+
+
+def test_part_counts_bound_the_overlap():
+    rng = np.random.default_rng(3)
+    values = np.unique(rng.integers(0, 1 << 63, 900).astype(np.uint64) * np.uint64(2))
+    a, b = values[:600], values[300:]
+    unpack = lambda packed: [(x >> (neardup.FIELD * i)) & ((1 << neardup.FIELD) - 1) for x in packed for i in range(3)]
+    x, y = unpack(neardup.part_counts(a)), unpack(neardup.part_counts(b))
+    assert sum(x) == len(a) and sum(y) == len(b)
+    assert sum(map(min, x, y)) >= len(np.intersect1d(a, b))
