@@ -142,16 +142,3 @@ def worker_cache(path: str) -> WordCache:
     if path not in _WORKER:
         _WORKER[path] = WordCache(path)
     return _WORKER[path]
-
-
-def text_blocks(batch, text: str = "text", chars: int = 4_000_000):
-    """Slices of an Arrow batch of bounded text size, as (first row, texts); null is empty."""
-    texts, first, size = [], 0, 0
-    for i, value in enumerate(batch.column(batch.schema.get_field_index(text)).to_pylist()):
-        texts.append(value or "")
-        size += len(value or "")
-        if size >= chars:
-            yield first, texts
-            first, texts, size = i + 1, [], 0
-    if texts:
-        yield first, texts

@@ -115,9 +115,9 @@ def test_word_tables_are_distributions():
     kind, share, inputs = lm.classes_of(counts, begins)
     spell = lambda w: np.array([int(x) for x in w.split("-")], dtype="<u4").tobytes()
     known = {"1-40": 5, "1-40-41": 2, "7": 9, "29-59": 1}
-    seen, rows, prior = lm.word_tables(known, spell, kind, counts)
+    seen, spread, rows, prior = lm.word_tables(known, spell, kind, counts)
     assert np.exp(prior).sum(axis=1) == pytest.approx(np.ones(len(prior)), abs=1e-5)
-    shares = lm.WordShares(seen, kind, share, spell)
+    shares = lm.WordShares(seen, spread, kind, share, spell)
     for before, ids in (("", np.flatnonzero(begins)), ("1-40-", np.flatnonzero(~begins))):
         total = np.zeros(lm.CLASSES)
         for i in ids:
@@ -127,6 +127,19 @@ def test_word_tables_are_distributions():
     assert np.frombuffer(lm.WordRows(rows, spell)["8"], dtype="<u4").tolist() == [8]
 
 
+def test_topics_part_two_vocabularies():
+    rng = np.random.Generator(np.random.PCG64(3))
+    texts = [rng.integers(0, 30, 500) + 30 * (i % 2) for i in range(20)]
+    topics = lm.topics_of(texts, 60)
+    assert not set(topics[:30]) & set(topics[30:])
+    assert lm.topics_of([], 60).tolist() == [0] * 60
+    counts, begins = np.bincount(np.concatenate(texts), minlength=60), np.arange(60) % 2 == 0
+    kind, share, _ = lm.classes_of(counts, begins, topics)
+    for c in set(kind.tolist()):
+        assert len(set(begins[kind == c])) == 1
+    assert np.bincount(kind, weights=10.0**share, minlength=lm.CLASSES)[np.unique(kind)] == pytest.approx(1, abs=1e-3)
+
+
 def test_part_counts_bound_the_overlap():
     rng = np.random.default_rng(3)
     values = np.unique(rng.integers(0, 1 << 63, 900).astype(np.uint64) * np.uint64(2))
