@@ -115,9 +115,10 @@ def test_word_tables_are_distributions():
     kind, share, inputs = lm.classes_of(counts, begins)
     spell = lambda w: np.array([int(x) for x in w.split("-")], dtype="<u4").tobytes()
     known = {"1-40": 5, "1-40-41": 2, "7": 9, "29-59": 1}
-    seen, spread, rows, prior = lm.word_tables(known, spell, kind, counts)
+    pairs = np.array([(60, 1, 7), (60, 7, 9), (60, 29, 1), (1, 40, 7), (40, 41, 2), (40, -1, 5), (7, -1, 9)])
+    seen, spread, rows, prior = lm.word_tables(known, spell, kind, counts, pairs)
     assert np.exp(prior).sum(axis=1) == pytest.approx(np.ones(len(prior)), abs=1e-5)
-    shares = lm.WordShares(seen, spread, kind, share, spell)
+    shares = lm.WordShares(seen, spread, lm.pair_shares(pairs, kind, share), kind, share, spell)
     for before, ids in (("", np.flatnonzero(begins)), ("1-40-", np.flatnonzero(~begins))):
         total = np.zeros(lm.CLASSES)
         for i in ids:
