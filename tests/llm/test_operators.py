@@ -185,6 +185,40 @@ def test_lm(docs, none):
     assert lm.score_documents(none).count() == 0
 
 
+def test_lm_scores_do_not_depend_on_the_head(spark):
+    rng = np.random.default_rng(2)
+    words = [f"{'un' * (i % 3)}w{i % 7}ing{i}" for i in range(300)] + ["x" * 400]
+    rows = [(i, " ".join(rng.choice(words, int(rng.integers(1, 60))))) for i in range(60)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    few, many = ({r["doc_id"]: r for r in lm.score_documents(table, head=h, sample=20).collect()} for h in (3, 10_000))
+    for i, _ in rows:
+        assert few[i]["score"] == pytest.approx(many[i]["score"], abs=1e-3)
+        assert few[i]["base_score"] == pytest.approx(many[i]["base_score"]) and few[i]["n_known"] == many[i]["n_known"]
+
+
+def test_lm_word_model_equals_tables_of_all_words(spark, docs):
+    import pyarrow as pa
+
+    path = tokenizer_path()
+    begin = lm.begin_ids(path)
+    size = len(begin)
+    end = np.array([size - 1], dtype="<u4").tobytes()
+    words = lm.spelled_words(lm.word_counts(docs), path, end)
+    counts, pairs = lm.id_counts(words, size)
+    kind, share, _ = lm.classes_of(counts, begin)
+    kinds = spark.createDataFrame(pa.table({"id": pa.array(range(size), pa.int64()), "c": pa.array(kind, pa.int32())}))
+    after = lm.After(pairs, kinds, kind, counts)
+    model = {r["word"]: r for r in lm.word_model(words, pairs, kinds, spark.sparkContext.broadcast(after), share, size).collect()}
+    spelt = {w: np.array(r["ids"], dtype="<u4").tobytes() for w, r in model.items()}
+    listed = np.array([tuple(r) for r in pairs.collect()], dtype=np.int64)
+    seen, spread, rows, prior = lm.word_tables({w: r["n"] for w, r in model.items() if r["n"]}, spelt.get, kind, counts, listed)
+    shares = lm.WordShares(seen, spread, lm.pair_shares(listed, kind, share), kind, share, spelt.get)
+    for w, r in model.items():
+        assert r["within"] == pytest.approx(shares[w], abs=1e-9), w
+        at = np.frombuffer(lm.beginning_rows(rows, spelt[w]), dtype="<u4")
+        assert after.priors(np.array(r["ids"]), b"".join(r["heads"]), b"".join(r["kinds"])) == pytest.approx(prior[at], abs=1e-4), w
+
+
 def test_perspectives(spark):
     rows = [(1, 0, "ann", "Hi"), (1, 1, "bob", None), (1, 2, None, "Yo"), (None, 0, "ann", "x"), (1, 70, "ann", "late")]
     got = {(r["conv_id"], r["participant"], r["segment"]): r for r in perspectives.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
