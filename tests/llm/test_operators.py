@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import decontam, htmltext, lm, neardup, orderminhash, packing, perspectives, quality, simple8b, urlfilter
 from tessera.llm.tokens import tokenizer_path
@@ -219,6 +220,22 @@ def test_lm_word_model_equals_tables_of_all_words(spark, docs):
         assert after.priors(np.array(r["ids"]), b"".join(r["heads"]), b"".join(r["kinds"])) == pytest.approx(prior[at], abs=1e-4), w
 
 
+def test_lm_fit_grows_with_the_input(spark):
+    table = lambda n: spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    few, many = (lm.fit_documents(table(n), least=5) for n in (40, 40_000))
+    assert few.count() >= 5
+    assert many.count() == pytest.approx(40_000 * 6 / 7 * lm.SHARE, rel=0.1)
+    assert many.where(lm.held_out(F.col("doc_id"))).count() == 0
+
+
+def test_lm_topics_over_partitions(spark):
+    rng = np.random.Generator(np.random.PCG64(3))
+    texts = [rng.integers(0, 30, 500) + 30 * (i % 2) for i in range(20)]
+    rows = spark.createDataFrame([(t.astype("<u4").tobytes(),) for t in texts], "ids binary").repartition(3)
+    topics = lm.topics_over(rows, texts[:4], np.bincount(np.concatenate(texts), minlength=60))
+    assert not set(topics[:30]) & set(topics[30:])
+
+
 def test_perspectives(spark):
     rows = [(1, 0, "ann", "Hi"), (1, 1, "bob", None), (1, 2, None, "Yo"), (None, 0, "ann", "x"), (1, 70, "ann", "late")]
     got = {(r["conv_id"], r["participant"], r["segment"]): r for r in perspectives.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
