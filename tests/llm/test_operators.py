@@ -228,6 +228,11 @@ def test_lm_fit_grows_with_the_input(spark):
     assert many.where(lm.held_out(F.col("doc_id"))).count() == 0
 
 
+def test_lm_fit_reads_whole_texts(docs):
+    rows = lm.text_ids(docs.where("doc_id = 4").select(F.col("doc_id").alias("key"), "text"), tokenizer_path(), b"\0" * 4).collect()
+    assert len(LONG.split()) > 20_000 and [len(r["ids"]) // 4 for r in rows] == [len(LONG.split()) + 1] * 2
+
+
 def test_lm_topics_over_partitions(spark):
     rng = np.random.Generator(np.random.PCG64(3))
     texts = [rng.integers(0, 30, 500) + 30 * (i % 2) for i in range(20)]
