@@ -233,6 +233,15 @@ def test_lm_fit_reads_whole_texts(docs):
     assert len(LONG.split()) > 20_000 and [len(r["ids"]) // 4 for r in rows] == [len(LONG.split()) + 1] * 2
 
 
+def test_lm_head_holds_at_any_count(spark):
+    counts = [10_000 + i // 4 for i in range(100)] + [3, 2]
+    words = spark.createDataFrame([(f"w{i}", n) for i, n in enumerate(counts)] + [(lm.END, 5)], "word string, n long")
+    got = {r["word"]: r["n"] for r in lm.head_words(words, 10).collect()}
+    assert got.pop(lm.END) == 5
+    assert sorted(got.values()) == sorted(counts)[-10:]
+    assert lm.head_words(words, 1000).count() == 103
+
+
 def test_lm_topics_over_partitions(spark):
     rng = np.random.Generator(np.random.PCG64(3))
     texts = [rng.integers(0, 30, 500) + 30 * (i % 2) for i in range(20)]
