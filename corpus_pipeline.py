@@ -21,10 +21,17 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five words, 0.8), that of the least doc_id."""
-    kept = neardup.near_duplicates(docs, shingle=5, percent=80).where("kept OR doc_id IS NULL").select("doc_id").distinct()
-    name = free_name(docs, "_kept")
-    return docs.join(kept.withColumnRenamed("doc_id", name), F.col("doc_id").eqNullSafe(F.col(name)), "left_semi").dropDuplicates(["doc_id", "text"])
+    """One row of each group of near-duplicates (five words, 0.8), that of the least doc_id, nulls last.
+
+    Rows are told apart by a written row key, so rows with a null doc_id, or with one that others share, are judged like all others.
+    Rows without words are no near-duplicates of any; of those that agree in doc_id and text, one stays.
+    """
+    name = free_name(docs, "_row")
+    rows = materialize(docs.withColumn(name, F.monotonically_increasing_id()), "rows")
+    groups = neardup.near_duplicates(rows.select(F.col(name).alias("doc_id"), "text"), shingle=5, percent=80).select(F.col("doc_id").alias(name), "component_id")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col(name).alias("row")))
+    kept = rows.select(name, "doc_id").join(groups, name).groupBy("component_id").agg(best.alias("best")).select(F.col("best.row").alias(name))
+    return rows.join(kept, name, "left_semi").drop(name).dropDuplicates(["doc_id", "text"])
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -269,3 +269,17 @@ def test_pipeline(spark, tmp_path):
         assert out.columns == docs.columns, name
         assert 0 < out.count() <= docs.count()
     assert corpus_pipeline.run(spark, source).count() > 0
+
+
+def test_near_duplicate_stage_keeps_one_row_of_each_group(spark):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(200)]
+    near = [" ".join([*words[:-k], *(f"v{k}" for _ in range(k))]) for k in range(1, 6)]
+    other = " ".join(f"z{i}" for i in range(100))
+    rows = [(None, near[0], "a"), (None, near[1], "b"), (7, near[2], "c"), (7, near[3], "d"), (9, near[4], "e"), (None, other, "f"), (3, None, "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row string")
+    got = corpus_pipeline.near_duplicate_stage(spark, docs, "")
+    assert got.columns == docs.columns
+    kept = sorted(r["_row"] for r in got.collect())
+    assert kept in (["c", "f", "g"], ["d", "f", "g"])
