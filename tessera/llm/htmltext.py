@@ -5,8 +5,10 @@ length.  Lines of menus, headers, footers, sidebars, notices, adverts, forms
 and reader comments weigh nothing and are not lines of text at all; where a
 page has an ``article`` or ``main`` element, neither are lines outside it.
 Sums of the weights over sliding windows of ``width`` lines rise at surge points
-and fall to nothing at dive points; the text between them is kept.  A page
-without such an element is cut where the sums pass ``threshold`` instead.
+and fall to nothing at dive points; the text between them is kept.  On a page
+without such an element the sums pass ``threshold`` where the text begins and
+ends; all lines between stay, whatever their length, and so do headings and
+paragraphs that adjoin its first line and paragraphs that adjoin its last.
 
 Structure decides first because line lengths alone cannot tell a short
 paragraph from an advert of one sentence.
@@ -39,6 +41,8 @@ _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""",
 #: Elements that break lines, elements that hold no main text, and words of class names that mark it.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 SKIPPED = frozenset("head title nav header footer aside form menu dialog".split())
+#: Elements of short lines that belong to the text before or after which they stand.
+BEFORE, AFTER = frozenset("h1 h2 h3 h4 h5 h6 hgroup p blockquote pre".split()), frozenset("p blockquote pre".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MARKED = frozenset("ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header masthead menu nav navbar navigation newsletter notice notices popup promo related respond share sharing sidebar social sponsor sponsored subscribe widget".split())
 
@@ -47,18 +51,19 @@ def _marked(attributes: str) -> bool:
     return any(w in MARKED for names in _NAMES.findall(attributes) for w in re.split(r"[^a-z]+", names.lower()))
 
 
-def lines_of(page: str) -> tuple[list[tuple[str, bool]], bool]:
-    """(text, inside the article) of each block, and whether there is an article."""
-    lines: list[tuple[str, bool]] = []
+def lines_of(page: str) -> tuple[list[tuple[str, bool, str]], bool]:
+    """(text, inside the article, its block element) of each block, and whether there is an article."""
+    lines: list[tuple[str, bool, str]] = []
     part: list[str] = []
     skip: list[str] = []  # open elements from the one that holds no main text
     inside = at = 0
     found = False
+    block = ""
 
     def end() -> None:
         text = " ".join(entities.unescape("".join(part)).split())
         if text:
-            lines.append((text, inside > 0))
+            lines.append((text, inside > 0, block))
         part.clear()
 
     for m in _MARKUP.finditer(page):
@@ -73,6 +78,7 @@ def lines_of(page: str) -> tuple[list[tuple[str, bool]], bool]:
             continue
         if name in BLOCKS:
             end()
+            block = "" if m[2] else name
         if m[2]:
             if skip:
                 if name in skip:
@@ -98,11 +104,11 @@ def lines_of(page: str) -> tuple[list[tuple[str, bool]], bool]:
 
 def main_text(page: str, width: int = 3, threshold: int = 86) -> str:
     lines, found = lines_of(page)
-    weights = [len(text) if inside or not found else 0 for text, inside in lines]
+    weights = [len(text) if inside or not found else 0 for text, inside, _ in lines]
     least = 0 if found else threshold
     n = len(lines)
     sums = [sum(weights[i : i + width]) for i in range(n)]
-    kept, i = [], 0
+    kept, spans, i = [], [], 0
     while i < n:
         if sums[i] <= least:
             i += 1
@@ -115,6 +121,16 @@ def main_text(page: str, width: int = 3, threshold: int = 86) -> str:
             surge += 1
         while surge < dive and weights[dive - 1] < least / 2:
             dive -= 1
+        if surge < dive:
+            spans.append((surge, dive))
+    if spans and not found:
+        surge, dive = spans[0][0], spans[-1][1]
+        while surge and lines[surge - 1][2] in BEFORE:
+            surge -= 1
+        while dive < n and lines[dive][2] in AFTER:
+            dive += 1
+        spans = [(surge, dive)]
+    for surge, dive in spans:
         kept += [lines[k][0] for k in range(surge, dive) if weights[k]]
     return "\n".join(kept)
 

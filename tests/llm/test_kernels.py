@@ -65,6 +65,12 @@ def test_main_text():
     assert htmltext.main_text(plain).startswith("long text here.")
 
 
+def test_main_text_keeps_short_lines_without_article():
+    long = "long text here. " * 20
+    page = f"<body><ul><li>Home</li></ul><div><h1>Title</h1><p>{long}</p><h2>List</h2><ul><li>one</li><li>two</li><li>three</li><li>four</li></ul><p>{long}</p><p>The end.</p></div><div>imprint</div></body>"
+    assert htmltext.main_text(page) == "\n".join(["Title", long.strip(), "List", "one", "two", "three", "four", long.strip(), "The end."])
+
+
 def test_quality_gradients():
     rng = np.random.default_rng(0)
     bags = [rng.normal(size=(k, quality.WIDTH)) for k in (1, 3, 2)]
