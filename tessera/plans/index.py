@@ -85,7 +85,7 @@ class SemanticIndex:
     def fields(self) -> list[str]:
         return [c for c in self.records.columns if c not in (POS, "group_pos")]
 
-    def _search(self, queries: DataFrame, k: int, threshold: float | None, skip_self: bool) -> DataFrame:
+    def _search(self, queries: DataFrame, k: int | None, threshold: float | None, skip_self: bool) -> DataFrame:
         return materialize(similarity.search(queries, self.vectors, k, threshold, skip_self, self.method, **self.options), "edges")
 
     def _incoming(self, records: DataFrame | Sequence, order_by) -> DataFrame:
@@ -95,9 +95,9 @@ class SemanticIndex:
 
     # -- deduplication -------------------------------------------------------------
 
-    def self_deduplicate(self, threshold: float = 0.9) -> DeduplicationResult:
-        """Greedy two-hop rule over neighbour lists; exact copies of a key's first record are always dropped."""
-        edges = self._search(self.vectors, CAP, threshold, False)
+    def self_deduplicate(self, threshold: float = 0.9, cap: int | None = CAP) -> DeduplicationResult:
+        """Greedy two-hop rule over lists of at most ``cap`` neighbours (``None``: all of them); exact copies of a key's first record are always dropped."""
+        edges = self._search(self.vectors, cap, threshold, False)
         dropped = greedy.dropped_items(edges).select(F.col("src").alias(POS), F.lit(True).alias("_drop"))
         status = F.when(F.col(POS) != F.col("group_pos"), "exact").when(F.col("_drop"), "semantic").otherwise("selected")
         decisions = materialize(self.records.join(dropped, POS, "left").withColumn("status", status).drop("_drop"), "decisions")
@@ -110,12 +110,12 @@ class SemanticIndex:
         near = near.where(~F.col("mine").eqNullSafe(F.col("theirs"))).select(F.col("src").alias(POS), "dup_pos", "score", F.lit(False).alias("exact"))
         return DeduplicationResult(decisions, copies.unionByName(near), targets, self.columns, threshold, self.was_string)
 
-    def deduplicate(self, records: DataFrame | Sequence, threshold: float = 0.9, order_by: str | Sequence[str] | None = None) -> DeduplicationResult:
-        """Drop records that equal or resemble a fitted one; they are never compared with each other."""
+    def deduplicate(self, records: DataFrame | Sequence, threshold: float = 0.9, order_by: str | Sequence[str] | None = None, cap: int | None = CAP) -> DeduplicationResult:
+        """Drop records that equal or resemble a fitted one (at most ``cap`` pairs each, ``None``: all); they are never compared with each other."""
         queries = exact.match_exact(self._incoming(records, order_by), self.records, self.columns)
         queries = materialize(queries, "matched")
         rest = queries.where("group_pos IS NULL")
-        edges = self._search(featurize(rest, POS, self.columns, self.encoder), CAP, threshold, False)
+        edges = self._search(featurize(rest, POS, self.columns, self.encoder), cap, threshold, False)
         near = edges.select(F.col("src").alias(POS)).distinct().withColumn("_near", F.lit(True))
         status = F.when(F.col("group_pos").isNotNull(), "exact").when(F.col("_near"), "semantic").otherwise("selected")
         decisions = materialize(queries.join(near, POS, "left").withColumn("status", status).drop("_near"), "decisions")

@@ -182,6 +182,15 @@ def test_cap_keeps_the_best(spark):
     assert similarity.search(df, df, 100, 0.5).groupBy("src").count().agg({"count": "max"}).first()[0] == 100
 
 
+def test_no_cap_keeps_all_links(spark):
+    vectors = {f"t{i}": [1.0, i / 1000] for i in range(130)}
+    index = SemanticIndex.fit(list(vectors), encoder=TableEncoder(vectors), spark=spark)
+    whole = index.self_deduplicate(0.9, cap=None)
+    assert whole.selected.count() == 1
+    assert whole.pairs.groupBy(POS).count().agg({"count": "min"}).first()[0] == 129
+    assert index.self_deduplicate(0.9).pairs.groupBy(POS).count().agg({"count": "max"}).first()[0] <= 100
+
+
 def test_stream(spark, tmp_path):
     from tessera.streaming.dedup import deduplicate_stream
 
