@@ -197,19 +197,21 @@ def test_lm_scores_do_not_depend_on_the_head(spark):
         assert few[i]["base_score"] == pytest.approx(many[i]["base_score"]) and few[i]["n_known"] == many[i]["n_known"]
 
 
-def test_lm_word_model_equals_tables_of_all_words(spark, docs):
+@pytest.mark.parametrize("part_words", [2, 7, None])
+def test_lm_word_model_equals_tables_of_all_words(spark, docs, part_words):
     import pyarrow as pa
 
     path = tokenizer_path()
     begin = lm.begin_ids(path)
     size = len(begin)
     end = np.array([size - 1], dtype="<u4").tobytes()
-    words = lm.spelled_words(lm.word_counts(docs), path, end)
+    more = spark.createDataFrame([(100 + i, f"un{i} under{i} undone{i % 5} underway runs running runner{i}") for i in range(30)], "doc_id long, text string")
+    words = lm.spelled_words(lm.word_counts(docs.select("doc_id", "text").unionByName(more)), path, end)
     counts, pairs = lm.id_counts(words, size)
     kind, share, _ = lm.classes_of(counts, begin)
     kinds = spark.createDataFrame(pa.table({"id": pa.array(range(size), pa.int64()), "c": pa.array(kind, pa.int32())}))
     after = lm.After(pairs, kinds, kind, counts)
-    model = {r["word"]: r for r in lm.word_model(words, pairs, kinds, spark.sparkContext.broadcast(after), share, size).collect()}
+    model = {r["word"]: r for r in lm.word_model(words, pairs, kinds, spark.sparkContext.broadcast(after), kind, share, part_words).collect()}
     spelt = {w: np.array(r["ids"], dtype="<u4").tobytes() for w, r in model.items()}
     listed = np.array([tuple(r) for r in pairs.collect()], dtype=np.int64)
     seen, spread, rows, prior = lm.word_tables({w: r["n"] for w, r in model.items() if r["n"]}, spelt.get, kind, counts, listed)
