@@ -12,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_WORDS = re.compile(r"[a-z0-9]+")
+#: Runs of letters and digits of any script; ideographs, which are not parted by spaces, one at a time.
+_WORDS = re.compile(r"[\u2e80-\u9fff\uac00-\ud7a3\uf900-\ufaff]|[^\W_\u2e80-\u9fff\uac00-\ud7a3\uf900-\ufaff]+")
 
 
 class Encoder(Protocol):
@@ -46,6 +47,35 @@ class TableEncoder:
         return np.array([self.table[s] for s in sentences], dtype=np.float64)
 
 
+class StaticEncoder:
+    """Mean of the vectors of a text's known words, of length 1: a static embedding model from a table of words and vectors.
+
+    A text without known words is the zero vector.  The table is held by every worker, so it is
+    bounded by its vocabulary.
+    """
+
+    def __init__(self, words: Sequence[str], vectors: np.ndarray):
+        self.at, self.vectors = {w: i for i, w in enumerate(words)}, np.asarray(vectors, dtype=np.float32)
+
+    @classmethod
+    def from_table(cls, table: DataFrame, word: str = "word", vector: str = "vector", most: int = 2_000_000) -> StaticEncoder:
+        """Reads a table of any source; more than ``most`` words are refused."""
+        if table.limit(most + 1).count() > most:
+            raise ValueError(f"a static encoder holds at most {most} words")
+        found = table.select(word, F.col(vector).cast("array<float>")).toArrow()
+        rows = found.column(1).combine_chunks()
+        return cls(found.column(0).to_pylist(), rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1))
+
+    def encode(self, sentences: Sequence[str]) -> np.ndarray:
+        out = np.zeros((len(sentences), self.vectors.shape[1]))
+        for row, text in zip(out, sentences, strict=True):
+            known = [i for w in _WORDS.findall(text.lower()) if (i := self.at.get(w)) is not None]
+            if known:
+                row[:] = self.vectors[known].mean(axis=0)
+                row /= max(1e-12, np.linalg.norm(row))
+        return out
+
+
 class CallableEncoder:
     """Any object with ``encode``, made by ``factory`` once in each Python worker."""
 

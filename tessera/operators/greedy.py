@@ -1,24 +1,83 @@
-"""The greedy two-hop rule as rounds over neighbour lists.
+"""The greedy two-hop rule over neighbour lists.
 
 In position order, an item is kept unless its neighbour list shares a member
-with the list of an earlier kept item.  That is the lexicographically first
-maximal independent set of the conflict graph, found in parallel: per member,
-the least undecided item that lists it; an item is kept when it is the least at
-all its members; items with a claimed member are dropped; repeat.  No conflict
-pair is ever built, and only minima are aggregated, so a popular member costs
-one partial aggregate.
+with the list of an earlier kept item.  Items can only affect each other within
+a connected component of the lists, so each component is walked in order by one
+task, whose memory holds the members seen.  Lists of at most ``WALK`` edges in
+all are one walk, without components.
+
+A component of more than ``WALK`` edges is decided in parallel rounds instead,
+with the same result: the rule gives the lexicographically first maximal
+independent set of the conflict graph.  Per member, the least undecided item
+that lists it; an item is kept when it is the least at all its members; items
+with a claimed member are dropped; repeat.  No conflict pair is ever built.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.components import connect
 from tessera.sources.tables import materialize
 
+WALK = 2_000_000
+
+
+def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(src) of the dropped items of rows (root, src, dst), sorted by root and src."""
+    root = src = None
+    seen: set[int] = set()
+    members: list[int] = []
+    lost: list[int] = []
+
+    def decide() -> None:
+        if src is not None:
+            if seen.isdisjoint(members):
+                seen.update(members)
+            else:
+                lost.append(src)
 
-def dropped_items(edges: DataFrame) -> DataFrame:
+    for batch in batches:
+        roots, items, targets = (batch.column(i).to_numpy() for i in range(3))
+        cuts = [0, *(np.flatnonzero((np.diff(items) != 0) | (np.diff(roots) != 0)) + 1).tolist(), len(items)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a == b:
+                continue
+            if (roots[a], items[a]) != (root, src):
+                decide()
+                if roots[a] != root:
+                    seen.clear()
+                root, src, members = roots[a], items[a], []
+            members.extend(targets[a:b].tolist())
+        yield pa.RecordBatch.from_arrays([pa.array(lost, pa.int64())], names=["src"])
+        lost.clear()
+    decide()
+    yield pa.RecordBatch.from_arrays([pa.array(lost, pa.int64())], names=["src"])
+
+
+def dropped_items(edges: DataFrame, most: int = WALK) -> DataFrame:
     """(src) of the items that the rule drops; edges: (src, dst), self included."""
+    edges = edges.select("src", "dst")
+    if edges.limit(most + 1).count() <= most:
+        one = edges.select(F.lit(0).cast("long").alias("root"), "src", "dst").coalesce(1).sortWithinPartitions("src")
+        return materialize(one.mapInArrow(walk, "src long"), "dropped")
+    roots = connect(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    named = edges.join(roots.withColumnRenamed("node", "src"), "src", "left").select(F.coalesce("root", "src").alias("root"), "src", "dst")
+    named = materialize(named, "components")
+    large = named.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > most).select("root")  # at most edges / ``most`` rows
+    small = named.join(F.broadcast(large), "root", "left_anti").repartition("root").sortWithinPartitions("root", "src")
+    dropped = materialize(small.mapInArrow(walk, "src long"), "dropped")
+    rest = named.join(F.broadcast(large), "root", "left_semi")
+    return dropped.unionByName(rounds(rest)) if rest.limit(1).count() else dropped
+
+
+def rounds(edges: DataFrame) -> DataFrame:
+    """The same for components of any size: a few joins a round."""
     spark = edges.sparkSession
     open_edges = materialize(edges.select("src", "dst"), "greedy")
     dropped = spark.createDataFrame([], "src long")

@@ -43,7 +43,7 @@ class SemanticIndex:
         encoder = encoder or HashedBigramEncoder()
         grouped = materialize(exact.with_groups(rows, columns), "records")
         if grouped.isEmpty():
-            raise ValueError("records must not be empty")
+            raise ValueError("there are no records")
         items = grouped.where(F.col(POS) == F.col("group_pos"))
         vectors = materialize(featurize(items, "group_pos", columns, encoder).withColumnRenamed("group_pos", "item"), "vectors")
         return cls(grouped, vectors, columns, encoder, was_string, search, **options)
@@ -62,15 +62,15 @@ class SemanticIndex:
             rows = rows.withColumn("_vector", F.col(embeddings).cast("array<double>"))
             sizes = rows.agg(F.min(F.size("_vector")).alias("a"), F.max(F.size("_vector")).alias("b"), F.count("*").alias("n")).first()
             if not sizes["n"]:
-                raise ValueError("records must not be empty")
+                raise ValueError("there are no records")
             if sizes["a"] != sizes["b"] or sizes["a"] < 1:
                 raise ValueError("embeddings must all have one length")
         else:
             if len(records) == 0:
-                raise ValueError("records must not be empty")
+                raise ValueError("there are no records")
             data = np.asarray(embeddings, dtype=np.float64)
             if data.ndim != 2:
-                raise ValueError(f"embeddings must be a 2D array, not of shape {data.shape}")
+                raise ValueError(f"expected one vector a record (2D), got an array of shape {data.shape}")
             if len(data) != len(records):
                 raise ValueError(f"Number of embeddings ({len(data)}) and of records ({len(records)}) differ")
             spark = spark or SparkSession.getActiveSession()
@@ -93,6 +93,12 @@ class SemanticIndex:
         rows, _, strings = prepare(self.records.sparkSession, records, self.columns, order_by)
         return materialize(rows, "queries")
 
+    def _encoded(self, rows: DataFrame, embeddings: str | None) -> DataFrame:
+        """(_pos, vector): of the named column, else encoded."""
+        if embeddings is not None:
+            return rows.select(POS, F.col(embeddings).cast("array<double>").alias("vector"))
+        return featurize(rows, POS, self.columns, self.encoder)
+
     # -- deduplication -------------------------------------------------------------
 
     def self_deduplicate(self, threshold: float = 0.9, cap: int | None = CAP) -> DeduplicationResult:
@@ -110,12 +116,12 @@ class SemanticIndex:
         near = near.where(~F.col("mine").eqNullSafe(F.col("theirs"))).select(F.col("src").alias(POS), "dup_pos", "score", F.lit(False).alias("exact"))
         return DeduplicationResult(decisions, copies.unionByName(near), targets, self.columns, threshold, self.was_string)
 
-    def deduplicate(self, records: DataFrame | Sequence, threshold: float = 0.9, order_by: str | Sequence[str] | None = None, cap: int | None = CAP) -> DeduplicationResult:
-        """Drop records that equal or resemble a fitted one (at most ``cap`` pairs each, ``None``: all); they are never compared with each other."""
+    def deduplicate(self, records: DataFrame | Sequence, threshold: float = 0.9, order_by: str | Sequence[str] | None = None, cap: int | None = CAP, embeddings: str | None = None) -> DeduplicationResult:
+        """Drop records that equal or resemble a fitted one (at most ``cap`` pairs each, ``None``: all); they are never compared with each other.  ``embeddings`` names a column of given vectors."""
         queries = exact.match_exact(self._incoming(records, order_by), self.records, self.columns)
         queries = materialize(queries, "matched")
         rest = queries.where("group_pos IS NULL")
-        edges = self._search(featurize(rest, POS, self.columns, self.encoder), cap, threshold, False)
+        edges = self._search(self._encoded(rest, embeddings), cap, threshold, False)
         near = edges.select(F.col("src").alias(POS)).distinct().withColumn("_near", F.lit(True))
         status = F.when(F.col("group_pos").isNotNull(), "exact").when(F.col("_near"), "semantic").otherwise("selected")
         decisions = materialize(queries.join(near, POS, "left").withColumn("status", status).drop("_near"), "decisions")
@@ -131,9 +137,9 @@ class SemanticIndex:
         edges = self._search(self.vectors, TOP, None, True)
         return materialize(ranking.rank_by_mean(edges, self.vectors, "item").withColumnRenamed("item", POS), "ranking")
 
-    def _ranking(self, records: DataFrame | Sequence, order_by) -> tuple[DataFrame, DataFrame, DataFrame]:
+    def _ranking(self, records: DataFrame | Sequence, order_by, embeddings: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
         queries = self._incoming(records, order_by)
-        vectors = materialize(featurize(queries, POS, self.columns, self.encoder), "vectors")
+        vectors = materialize(self._encoded(queries, embeddings), "vectors")
         ranks = materialize(ranking.rank_by_mean(self._search(vectors, TOP, None, False), vectors, POS), "ranking")
         return ranks, queries, vectors
 
@@ -149,9 +155,9 @@ class SemanticIndex:
         _check_share(outlier_percentage)
         return self._outliers(self._self_ranking, self.records.drop("group_pos"), outlier_percentage)
 
-    def filter_outliers(self, records: DataFrame | Sequence, outlier_percentage: float = 0.1, order_by=None) -> FilterResult:
+    def filter_outliers(self, records: DataFrame | Sequence, outlier_percentage: float = 0.1, order_by=None, embeddings: str | None = None) -> FilterResult:
         _check_share(outlier_percentage)
-        ranks, queries, _ = self._ranking(records, order_by)
+        ranks, queries, _ = self._ranking(records, order_by, embeddings)
         return self._outliers(ranks, queries, outlier_percentage)
 
     # -- representatives ---------------------------------------------------------------
@@ -174,8 +180,8 @@ class SemanticIndex:
         vectors = self.vectors.withColumnRenamed("item", POS)
         return self._diversify(self._self_ranking, self.records.drop("group_pos"), vectors, selection_size, candidate_limit, diversity, strategy, reencode)
 
-    def find_representative(self, records: DataFrame | Sequence, selection_size: int = 10, candidate_limit: int | str = "auto", diversity: float = 0.5, strategy: div.Strategy | str = div.Strategy.MMR, order_by=None) -> FilterResult:
-        ranks, queries, vectors = self._ranking(records, order_by)
+    def find_representative(self, records: DataFrame | Sequence, selection_size: int = 10, candidate_limit: int | str = "auto", diversity: float = 0.5, strategy: div.Strategy | str = div.Strategy.MMR, order_by=None, embeddings: str | None = None) -> FilterResult:
+        ranks, queries, vectors = self._ranking(records, order_by, embeddings)
         return self._diversify(ranks, queries, vectors, selection_size, candidate_limit, diversity, strategy, False)
 
 

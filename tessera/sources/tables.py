@@ -13,16 +13,22 @@ from pyspark.sql import functions as F
 POS = "_pos"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the folder in spark.checkpoint.dir and reread it: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a folder of this machine only where one process runs all (tests, local runs)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:  # tests and local runs
+    if not folder:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and reread it: cuts lineage, survives lost executors."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def read(spark: SparkSession, path: str, fmt: str = "parquet", **options: Any) -> DataFrame:
@@ -33,6 +39,11 @@ def write(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifex
     df.write.format(fmt).mode(mode).save(path)
 
 
+def as_list(records: Any) -> Any:
+    """Rows of a pandas frame as dictionaries; strings and dictionaries as they are."""
+    return records.to_dict("records") if hasattr(records, "to_dict") and hasattr(records, "iloc") else records
+
+
 def prepare(spark: SparkSession, records: DataFrame | Sequence, columns: Sequence[str] | None, order_by: str | Sequence[str] | None = None) -> tuple[DataFrame, list[str], bool]:
     """(rows with ``_pos``, columns, whether they were strings).
 
@@ -53,13 +64,14 @@ def prepare(spark: SparkSession, records: DataFrame | Sequence, columns: Sequenc
         from tessera.operators.ranking import numbered
 
         return numbered(records, [F.col(n).asc() for n in names], POS, 0), list(columns), False
+    records = as_list(records)
     if len(records) == 0:
-        raise ValueError("records must not be empty")
+        raise ValueError("there are no records")
     if isinstance(records[0], str):
         rows = [(i, str(r)) for i, r in enumerate(records)]
         return spark.createDataFrame(rows, f"{POS} long, text string"), ["text"], True
     if columns is None:
-        raise ValueError("columns must be specified when records are dictionaries")
+        raise ValueError("dictionaries need the columns that make up their key")
     names = list(dict.fromkeys(k for r in records for k in r))
     if missing := [c for c in columns if c not in names]:
         raise ValueError(f"no such columns: {missing}")
@@ -73,8 +85,9 @@ def check_like(records: DataFrame | Sequence, was_string: bool, columns: Sequenc
         if missing := [c for c in columns if c not in records.columns]:
             raise ValueError(f"no such columns: {missing}")
         return
+    records = as_list(records)
     if len(records) == 0:
-        raise ValueError("records must not be empty")
+        raise ValueError("there are no records")
     kinds = {isinstance(r, str) for r in records}
     if len(kinds) > 1 or not all(isinstance(r, str | dict) for r in records):
         raise ValueError("records must be all strings or all dictionaries")

@@ -50,11 +50,25 @@ def sequential(lists):
 
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.dictionaries(st.integers(0, 12), st.sets(st.integers(0, 12), min_size=1, max_size=4), min_size=1, max_size=12))
-def test_greedy_rounds_equal_the_sequential_rule(spark, lists):
+def test_greedy_walk_equals_the_sequential_rule(spark, lists):
     edges = spark.createDataFrame([(i, j) for i, l in lists.items() for j in l], "src long, dst long")
     assert {r["src"] for r in greedy.dropped_items(edges).collect()} == sequential(lists)
 
 
+@pytest.mark.parametrize("most", [0, 12])
+def test_greedy_components_and_rounds_equal_the_sequential_rule(spark, most):
+    rng = np.random.default_rng(5)
+    lists = {i: {i, *(int(x) for x in rng.integers(i // 20 * 20, i // 20 * 20 + 20, i // 20))} for i in range(120)}
+    edges = spark.createDataFrame([(i, j) for i, l in lists.items() for j in l], "src long, dst long")
+    assert {r["src"] for r in greedy.dropped_items(edges, most).collect()} == sequential(lists)
+
+
+def test_greedy_walk_of_a_long_chain(spark):
+    lists = {i: {i, max(0, i - 1), min(1999, i + 1)} for i in range(2000)}
+    edges = spark.createDataFrame([(i, j) for i, l in lists.items() for j in l], "src long, dst long").repartition(3)
+    assert {r["src"] for r in greedy.dropped_items(edges).collect()} == sequential(lists)
+
+
 def test_cross_dedup_judges_rows_alone(spark):
     index = SemanticIndex.fit(["a", "b"], encoder=TableEncoder(UNIT), spark=spark)
     result = index.deduplicate(["a", "a2", "far", "far"], 0.9)
@@ -177,6 +191,31 @@ def test_search_methods_agree(spark):
     assert set(fuzzy) <= set(exact) and len(fuzzy) >= 0.9 * len(exact)
 
 
+@pytest.mark.parametrize("threshold", [0.35, 0.7, 0.9])
+def test_lsh_recall_holds_at_the_threshold(spark, threshold):
+    """Pairs just above the threshold, the hardest ones, in 32 dimensions."""
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(size=(2, 400, 32))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    c = threshold + 0.005
+    left = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(a)], "item long, vector array<double>")
+    right = spark.createDataFrame([(1000 + i, v.tolist()) for i, v in enumerate(c * a + np.sqrt(1 - c * c) * b)], left.schema)
+    found = {(r["src"], r["dst"]) for r in similarity.search(left, right, None, threshold, method="lsh").collect()}
+    assert sum((i, 1000 + i) in found for i in range(400)) >= 0.9 * 400
+    assert found <= {(r["src"], r["dst"]) for r in similarity.search(left, right, None, threshold).collect()}
+
+
+def test_search_options(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.1])], "item long, vector array<double>")
+    index = SemanticIndex.fit(["a", "a2"], encoder=TableEncoder(UNIT), spark=spark, search="lsh", bands=30, bits=4)
+    assert texts(index.self_deduplicate(0.9).selected) == ["a"]
+    assert similarity.search(df, df, None, 0.9, True, "lsh", bands=40, bits=2).count() == 2
+    with pytest.raises(ValueError):
+        similarity.search(df, df, None, 0.9, bands=3)
+
+
 def test_cap_keeps_the_best(spark):
     df = spark.createDataFrame([(i, [1.0, i / 1000]) for i in range(130)], "item long, vector array<double>")
     assert similarity.search(df, df, 100, 0.5).groupBy("src").count().agg({"count": "max"}).first()[0] == 100
