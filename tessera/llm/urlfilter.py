@@ -7,9 +7,11 @@ prefix of a length that occurs in the list.  A split-block Bloom filter (blocks
 of eight 32-bit words, one bit in each) lets possible hits pass; an exact hash
 join with the list removes the false positives; the longest rule wins.
 
-The filter is a literal of at most ``MAX_FILTER_WORDS`` words.  A list too long
-for that is probed with a join on the filter's block instead.  The list itself
-is broadcast only while it has at most ``MAX_BROADCAST_RULES`` entries.
+A filter of up to ``MAX_FILTER_WORDS`` words is broadcast as a table of blocks.  A
+longer one is probed by a shuffled join on the block, once for each distinct
+candidate.  The list itself is broadcast only while it has at most
+``MAX_BROADCAST_RULES`` entries; beyond that the few candidates that many pages
+share are joined by broadcast and the others by their hash.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path
 and fits no rule; a URL that fits none is allowed; repeated pages all stay; an
@@ -21,14 +23,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tessera.llm.util import ascii_lower, columns
+from tessera.llm.util import ascii_lower, columns, materialize
+from tessera.operators.components import HOT, join_hot
 
 RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
 
 WORDS = 8
-MAX_FILTER_WORDS = 1 << 17
+MAX_FILTER_WORDS = 1 << 20
 MAX_BROADCAST_RULES = 50_000
 
 
@@ -89,26 +91,24 @@ def filter_urls(pages: DataFrame, rules: DataFrame, bits_per_rule: int = 16, def
     host, path = split_url(F.col("url"))
     rows = columns(pages, page_id="long", url="string").select(F.monotonically_increasing_id().alias("_row"), "page_id", host.alias("host"), path.alias("path"))
     possible = candidates(F.col("host"), F.col("path"), lengths)
+    listed = rules.select(F.col("rule").alias("key"), "rule", "verdict")
+    exploded = rows.select("*", F.explode_outer(possible).alias("key"))
+    block, bits = block_and_bits(F.col("key"), blocks)
+    table = build_filter(rules, blocks)
     if blocks * WORDS <= MAX_FILTER_WORDS:
-        table = [[0] * WORDS for _ in range(blocks)]
-        for row in build_filter(rules, blocks).collect():  # bounded by MAX_FILTER_WORDS
-            table[row["block"]] = row["words"]
-        literal = F.lit([w for words in table for w in words]).cast(T.ArrayType(T.LongType()))
-
-        def passes(key: Column) -> Column:
-            block, bits = block_and_bits(key, blocks)
-            at = (block * WORDS).cast("int")
-            return hit([F.get(literal, at + w) for w in range(WORDS)], bits)
-
-        found = rows.select("*", F.explode_outer(F.filter(possible, passes)).alias("key"))
+        passed = F.when(hit(F.col("words"), bits), F.col("key")).alias("key")
+        found = exploded.withColumn("block", block).join(F.broadcast(table), "block", "left").select("_row", "page_id", "host", "path", passed)
     else:
-        exploded = rows.select("*", F.explode_outer(possible).alias("key"))
-        block, bits = block_and_bits(F.col("key"), blocks)
-        probed = exploded.withColumn("block", block).join(build_filter(rules, blocks), "block", "left")
-        found = probed.select("_row", "page_id", "host", "path", F.when(hit(F.col("words"), bits), F.col("key")).alias("key"))
-
-    listed = rules.select(F.col("rule").alias("key"), "rule", "verdict")
-    joined = found.join(F.broadcast(listed) if n <= MAX_BROADCAST_RULES else listed, "key", "left")
+        found = materialize(exploded, "candidates")
+        probed = found.select("key").distinct().withColumn("block", block).join(table, "block")
+        listed = materialize(probed.where(hit(F.col("words"), bits)).select("key").join(listed, "key"), "listed")  # exact from here
+    if n <= MAX_BROADCAST_RULES:
+        joined = found.join(F.broadcast(listed), "key", "left")
+    else:
+        found = materialize(found.distinct(), "possible")  # candidates that the filter stopped are one row a page
+        often = found.where("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > max(1.0, found.count() * HOT))
+        some = join_hot(found.where("key IS NOT NULL"), listed, "key", often, "left")
+        joined = some.unionByName(found.where("key IS NULL").withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(None).cast("string")))
     best = F.max(F.when(F.col("rule").isNotNull(), F.struct(F.length("rule").alias("size"), F.col("verdict").alias("verdict"), F.col("rule").alias("rule"))))
     judged = joined.groupBy("_row", "page_id", "host", "path").agg(best.alias("best"))
     return judged.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce(F.col("best.verdict"), F.lit(default)).alias("verdict"))
