@@ -1,7 +1,9 @@
 """Operator 1: Order MinHash fingerprints, with DataFrame functions only.
 
-A text is read as tokens (runs of up to ``token`` characters that are no white
-space) and its k-mers of ``k`` tokens.  Equal k-mers are told apart by their
+A text is read as tokens and its k-mers of ``k`` tokens.  A token is a word of up to
+``token`` characters; longer runs without white space are cut after a vowel, a
+low digit or a mark, so that a character put in moves no cut but the next ones;
+an ideograph is a token of its own.  Equal k-mers are told apart by their
 occurrence number.  Coordinate j of the fingerprint takes, under its own order
 of the numbered k-mers, the ``ELEMENTS`` = 2 least ones, puts them back into
 text order and hashes that tuple: moving a passage changes the fingerprint,
@@ -9,6 +11,9 @@ unlike a plain MinHash.  Likeness is the share of equal coordinates.
 
 The order of coordinate j is one hash of the numbered k-mer, turned by j/m of
 its range; so one sorted array serves all coordinates, each by a binary search.
+Coordinates of a text with few k-mers then depend on each other: the README states
+the error against independent orders.  Entries hold 33 bits of a hash above 30 bits
+of position, more tokens than a string can have.
 Everything about a text happens in its own row; the one shuffle brings
 neighbours together: rows are dealt into buckets of ``doc_id`` ranges, and the
 first row of each bucket also goes to the bucket before it.
@@ -29,12 +34,19 @@ from pyspark.sql import types as T
 from tessera.llm.util import columns
 
 ELEMENTS = 2
-#: A packed entry: 39 bits of hash above 24 bits of position.
-POSITION = (1 << 24) - 1
+#: A packed entry: 33 bits of hash above 30 bits of position.
+POSITION = (1 << 30) - 1
+IDEOGRAPHS = r"\x{2E80}-\x{9FFF}\x{AC00}-\x{D7A3}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}"
 RANGE = 1 << 63
 LONG_MIN = -(1 << 63)
 
 
+def token_pattern(token: int) -> str:
+    letter = rf"[^\s{IDEOGRAPHS}]"
+    cut = r"[aeiouyAEIOUY0-4\p{P}]"
+    return rf"(?<!\S){letter}{{1,{token}}}(?!\S)|[{IDEOGRAPHS}]|{letter}{{3,{token + 3}}}?(?<={cut})|{letter}{{1,{token + 4}}}"
+
+
 def fingerprint_columns(df: DataFrame, text: str, out: str, k: int = 3, m: int = 64, token: int = 12) -> DataFrame:
     """Adds the fingerprint of ``text`` as ``out`` (hex, eight digits a coordinate).
 
@@ -42,7 +54,7 @@ def fingerprint_columns(df: DataFrame, text: str, out: str, k: int = 3, m: int =
     than once is then made once.
     """
     t, h, s, v, c = (f"_{out}_{x}" for x in "thsvc")
-    df = df.withColumn(t, F.regexp_extract_all(F.col(text), F.lit(rf"\S{{1,{token}}}"), F.lit(0)))
+    df = df.withColumn(t, F.regexp_extract_all(F.col(text), F.lit(token_pattern(token)), F.lit(0)))
     df = df.withColumn(h, F.transform(F.col(t), lambda x: F.xxhash64(x)))
     count = F.greatest(F.size(h) - (k - 1), F.least(F.size(h), F.lit(1)))
     high = F.lit(~POSITION & (RANGE - 1))
