@@ -1,17 +1,18 @@
 """Operator 9: benchmark decontamination over a positional inverted index, with DataFrame functions only.
 
-The index is split by document, as search engines shard theirs: a row holds a
-document's postings (term, position) in text order, for the terms that occur in
-test items.  A test window is its terms with their offsets, ordered from the
-rarest in the corpus.  Postings of a window's rarest term, moved back by its
-offset, give candidate starts; the lists of the other terms, adjusted by their
-own offsets, are intersected with them from the next rarest on.  What remains is
-an exact phrase; with ``slop`` > 0 each term may lie so many positions off,
-which gives proximity matches.
-
-Terms are 64-bit hashes of words.  Windows and the filter for the index are
-literals or broadcast tables only up to ``MAX_TERMS`` and ``MAX_WINDOWS``; above
-them the index keeps every term and the same joins shuffle.
+1. Every document's words are hashed to terms.  Those that can be terms of test items (by a
+   filter of bits of bounded size) are written in text order.
+2. A test window is its terms with their offsets, ordered from the rarest in the corpus.  The
+   postings (term, row, position) of all windows' two rarest terms are written as lists: sorted
+   by term, row and position over range partitions, so that a frequent term's list is
+   spread over many of them.
+3. A window's two lists, moved back by their offsets, are intersected: what is left starts
+   in the same place of the same document.
+4. There the other terms are looked up at their offsets, from the next rarest on.  What
+   remains is an exact phrase; with ``slop`` > 0 each term may lie so many positions
+   off, which gives proximity matches.
+
+All sizes take the same way; only which tables are broadcast depends on their counted size.
 
 Defined cases: a null text has no words; an item without words has no windows;
 an item of fewer words than ``window`` is one window; repeated rows are judged
@@ -24,12 +25,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.util import ascii_lower, columns, free_name, materialize
+from tessera.llm.util import ascii_lower, columns, discard, free_name, materialize
+from tessera.operators.components import HOT, join_hot
 
 #: Everything of ASCII but digits and letters splits words; all else belongs to them.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-MAX_TERMS = 100_000
-MAX_WINDOWS = 50_000
+#: Windows, or texts' keys, of which a table is broadcast.
+MAX_BROADCAST = 100_000
+#: Bits of a filter of terms at most (half a megabyte), and for each term.
+MAX_BITS, BITS = 1 << 22, 16
 
 
 def word_hashes(text: Column) -> Column:
@@ -44,69 +48,97 @@ def item_windows(items: DataFrame, window: int) -> DataFrame:
     return rows.select("item_id", F.explode(F.transform(starts, lambda i: F.slice(F.col("h"), i, window))).alias("terms"))
 
 
-def build_index(docs: DataFrame, terms: list[int] | None) -> DataFrame:
-    """(row, doc_id, n_words, postings): the positional index, written to the shared folder."""
-    rows = columns(docs, doc_id="long", text="string").select(F.monotonically_increasing_id().alias("row"), "doc_id", word_hashes(F.col("text")).alias("h"))
-    postings = F.transform(F.col("h"), lambda h, i: F.struct(h.alias("term"), i.alias("at")))
-    if terms is not None:
-        postings = F.filter(postings, lambda p: p["term"].isin(terms) if terms else F.lit(False))
-    return materialize(rows.select("row", "doc_id", F.size("h").cast("long").alias("n_words"), postings.alias("postings")), "postings")
+def filter_of(terms: DataFrame):
+    """A test whether a term can be among these: one bit for each, which other terms may share."""
+    spark, bits = terms.sparkSession, 1 << 10
+    while bits < min(MAX_BITS, BITS * terms.count()):
+        bits *= 2
+    word, bit = F.pmod(F.shiftright("term", 6), F.lit(bits // 64)), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("term").bitwiseAND(F.lit(63)).cast("int"))
+    used = terms.select(word.alias("id"), bit.alias("bit")).groupBy("id").agg(F.bit_or("bit").alias("bits"))
+    every = spark.range(bits // 64).join(used, "id", "left").agg(F.sort_array(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")))).alias("f"))
+    row = every.select(F.transform("f", lambda x: x["bits"]).alias("f"))._jdf.first()
+    table = Column(spark._jvm.org.apache.spark.sql.functions.lit(row.get(0)))  # never leaves the JVM
 
+    def maybe(term: Column) -> Column:
+        at = F.pmod(F.shiftright(term, 6), F.lit(bits // 64)).cast("int")
+        return F.call_function("shiftrightunsigned", F.get(table, at), term.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+    return maybe
 
-def find_windows(index: DataFrame, windows: DataFrame, small: bool, window: int, slop: int = 0) -> DataFrame:
-    """(row, wid, start, size): where windows (wid, terms) occur in the indexed documents."""
-    hint = F.broadcast if small else (lambda df: df)
-    postings = index.select(F.explode("postings.term").alias("term"))
-    used = windows.select(F.explode("terms").alias("term")).distinct()
-    counts = postings.join(hint(used), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
-    ranked = (
-        windows.select("wid", F.size("terms").alias("size"), F.posexplode("terms").alias("offset", "term"))
-        .join(hint(counts) if small else counts, "term", "left")
-        .groupBy("wid", "size")
-        .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("offset"), F.col("term")))).alias("by_count"))
-        # A term that the corpus lacks: the window cannot occur.
-        .where(F.col("by_count")[0]["n"] > 0)
-        .select(F.col("by_count")[0]["term"].alias("anchor"), "wid", "size", "by_count")
-    )
-    ranked = materialize(ranked, "windows")
-    anchors = ranked.select("anchor").distinct()
-    reach = window - 1 + slop
-    if small:
-        known = [r["anchor"] for r in anchors.collect()]  # at most MAX_WINDOWS
-        is_anchor = (lambda p: p["term"].isin(known)) if known else (lambda p: F.lit(False))
-    else:
-        is_anchor = lambda p: F.lit(True)
 
-    def around(p: Column, i: Column) -> Column:
-        low = F.greatest(i - reach, F.lit(0))
-        near = F.when(is_anchor(p), F.slice(F.col("postings"), low + 1, F.lit(2 * reach + 1)))
-        return F.struct(p["term"].alias("anchor"), p["at"].alias("at"), near.alias("near"))
+def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(row, doc_id, n_words, terms): each document's possible terms (term, at) in text order; written."""
+    rows = columns(docs, doc_id="long", text="string").select(F.monotonically_increasing_id().alias("row"), "doc_id", word_hashes(F.col("text")).alias("h"))
+    maybe = filter_of(terms)
+    postings = F.filter(F.transform(F.col("h"), lambda h, i: F.struct(h.alias("term"), i.alias("at"))), lambda p: maybe(p["term"]))
+    return materialize(rows.select("row", "doc_id", F.size("h").cast("long").alias("n_words"), postings.alias("terms")), "index")
 
-    found = F.filter(F.transform(F.col("postings"), around), lambda x: x["near"].isNotNull())
-    hits = index.select("row", F.inline(found)).join(hint(ranked), "anchor")
-    start = F.col("at") - F.col("by_count")[0]["offset"]
 
-    def present(term: Column) -> Column:
-        there = start + term["offset"]
-        return F.exists(F.col("near"), lambda p: (p["term"] == term["term"]) & (F.abs(p["at"] - there) <= slop))
+def posting_lists(index: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, row, at, place): the lists of these terms in order; place: the posting's number among its document's; written."""
+    maybe = filter_of(terms)
+    places = F.transform("terms", lambda p, i: F.struct(p["term"].alias("term"), p["at"].alias("at"), i.alias("place")))
+    rows = index.select("row", F.inline(F.filter(places, lambda p: maybe(p["term"])))).select("term", "row", "at", "place")
+    order = [F.col("term"), F.col("row"), F.col("at")]
+    return materialize(rows.repartitionByRange(*order).sortWithinPartitions(*order), "postings")
 
-    return hits.where(start >= -slop).where(F.forall(F.col("by_count"), present)).select("row", "wid", start.alias("start"), "size")
+
+def find_windows(index: DataFrame, windows: DataFrame, window: int, slop: int = 0) -> DataFrame:
+    """(row, wid, start, size): where windows (wid, terms) occur in the indexed documents."""
+    known = windows.limit(MAX_BROADCAST + 1).count()
+    small = F.broadcast if known <= MAX_BROADCAST else (lambda df: df)
+    used = windows.select(F.explode("terms").alias("term")).distinct()
+    counts = index.select(F.explode("terms.term").alias("term")).join(small(used), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
+    entry = F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("offset"), F.col("term"))
+    ranked = windows.select("wid", F.size("terms").alias("size"), F.posexplode("terms").alias("offset", "term")).join(counts, "term", "left")
+    ranked = ranked.groupBy("wid", "size").agg(F.sort_array(F.collect_list(entry)).alias("by_count"))
+    ranked = materialize(ranked.where(F.col("by_count")[0]["n"] > 0), "windows")  # a term that the corpus lacks: the window cannot occur
+
+    lists = ranked.select("wid", "size", F.posexplode(F.slice("by_count", 1, 2)).alias("rank", "t")).select("wid", "size", "rank", "t.term", "t.offset", "t.n")
+    lists = materialize(lists, "wanted")
+    postings = posting_lists(index, lists.select("term").distinct())
+    least = max(1.0, postings.count() * HOT)
+
+    def starts(rank: int) -> DataFrame:
+        """(wid, row, start, place) by the lists of the windows' rarest or second rarest term."""
+        wanted = lists.where(F.col("rank") == rank).select("term", "wid", "size", "offset", "n")
+        if known <= MAX_BROADCAST:
+            found = postings.join(F.broadcast(wanted), "term")
+        else:
+            found = join_hot(postings, wanted, "term", wanted.where(F.col("n") > least).select("term").distinct())
+        return found.select("wid", "size", "row", (F.col("at") - F.col("offset")).alias("start"), "place")
+
+    first = starts(0).where(F.col("start") >= -slop)
+    second = starts(1).select("wid", "row", F.explode(F.sequence(F.col("start") - slop, F.col("start") + slop)).alias("start")).distinct()
+    both = first.where("size > 1").join(second, ["wid", "row", "start"], "left_semi").unionByName(first.where("size = 1"))
+    both = both.join(small(ranked.select("wid", "by_count")), "wid")
+    both = materialize(both.groupBy("row").agg(F.collect_list(F.struct("wid", "start", "size", "place", "by_count")).alias("found")), "starts")
+
+    reach = window - 1 + slop
+    near = lambda c: F.slice(F.col("terms"), F.greatest(c["place"] - reach, F.lit(0)) + 1, F.lit(2 * reach + 1))
+    there = lambda c, t, p: (p["term"] == t["term"]) & (F.abs(p["at"] - c["start"] - t["offset"]) <= slop)
+    whole = F.filter("found", lambda c: F.forall(c["by_count"], lambda t: F.exists(near(c), lambda p: there(c, t, p))))
+    hits = both.join(index.select("row", "terms"), "row").select("row", F.explode(whole).alias("c"))
+    hits = materialize(hits.select("row", "c.wid", "c.start", "c.size").distinct(), "hits")
+    discard(ranked, lists, postings, both)
+    return hits
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, slop: int = 0) -> DataFrame:
     """Per document: n_words, n_hit, n_items, items_sha256, contaminated (and its row number)."""
     found = item_windows(items, window)
     windows = materialize(found.groupBy("terms").agg(F.array_sort(F.collect_set("item_id")).alias("items")).withColumn("wid", F.xxhash64("terms")), "items")
-    terms = windows.select(F.explode("terms").alias("term")).distinct().limit(MAX_TERMS + 1).collect()
-    small = len(terms) <= MAX_TERMS and windows.limit(MAX_WINDOWS + 1).count() <= MAX_WINDOWS
-    index = build_index(docs, [r["term"] for r in terms] if small else None)
-    hits = materialize(find_windows(index, windows.select("wid", "terms"), small, window, slop), "hits")
+    index = build_index(docs, windows.select(F.explode("terms").alias("term")).distinct())
+    hits = find_windows(index, windows.select("wid", "terms"), window, slop)
 
     first = F.greatest(F.col("start"), F.lit(0))
-    marked = hits.select("row", F.explode(F.sequence(first, F.col("start") + F.col("size") - 1)).alias("at")).distinct().groupBy("row").agg(F.count("*").alias("n_hit"))
-    listed = hits.select("row", "wid").distinct().join(F.broadcast(windows.select("wid", "items")) if small else windows.select("wid", "items"), "wid")
+    last = F.least(F.col("start") + F.col("size"), F.col("n_words")) - 1
+    sizes = index.select("row", "doc_id", "n_words")
+    marked = hits.join(sizes.select("row", "n_words"), "row") if slop else hits.withColumn("n_words", F.lit((1 << 31) - 1))
+    marked = marked.select("row", F.explode(F.sequence(first, last)).alias("at")).distinct().groupBy("row").agg(F.count("*").alias("n_hit"))
+    listed = hits.select("row", "wid").distinct().join(windows.select("wid", "items"), "wid")
     listed = listed.select("row", F.explode("items").alias("item")).distinct().groupBy("row").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    whole = index.select("row", "doc_id", "n_words").join(marked, "row", "left").join(listed, "row", "left")
+    whole = sizes.join(marked, "row", "left").join(listed, "row", "left")
     names = F.coalesce(F.array_join("items", ","), F.lit(""))
     return whole.select(
         "row", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
@@ -122,5 +154,12 @@ def clean_rows(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame
     """
     name = free_name(docs, "_text")
     key = F.coalesce(F.xxhash64("text", F.lit(0)), F.lit(0))
-    bad = decontaminate(columns(docs, text="string").select(key.alias("doc_id"), "text"), items, window).where("contaminated").select(F.col("doc_id").alias(name)).distinct()
-    return docs.withColumn(name, key).join(bad, name, "left_anti").drop(name)
+    judged = decontaminate(columns(docs, text="string").select(key.alias("doc_id"), "text"), items, window)
+    bad = materialize(judged.groupBy(F.col("doc_id").alias(name)).agg(F.max("contaminated").alias("bad"), F.count("*").alias("n")), "judged")
+    rows = docs.withColumn(name, key)
+    if bad.where("bad").limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
+        return rows.join(F.broadcast(bad.where("bad").select(name)), name, "left_anti").drop(name)
+    hot = F.broadcast(bad.where(F.col("n") > max(1.0, bad.agg(F.sum("n")).first()[0] * HOT)))
+    many = rows.join(hot.where("bad"), name, "left_anti").join(hot, name, "left_semi")
+    rest = rows.join(hot, name, "left_anti").join(bad.where("bad"), name, "left_anti")
+    return many.unionByName(rest).drop(name)
