@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.sources.tables import materialize
+from tessera.sources.tables import discard, materialize
 
 #: A key with more than this share of all rows is broadcast instead of shuffled: at most as many keys as its inverse.
 HOT = 1 / 1000
@@ -33,13 +33,14 @@ def connect(links: DataFrame, most: int = 60) -> DataFrame:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = materialize(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "least")
         # Large star: neighbours above u hang on the least of all.
-        edges = join_hot(both.where("v > u"), least.drop("n"), "u", least.where(F.col("n") > many)).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        edges = materialize(edges, "stars")
+        large = join_hot(both.where("v > u"), least.drop("n"), "u", least.where(F.col("n") > many))
+        large = materialize(large.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "stars")
+        discard(edges, least)
         # Small star: u and the neighbours below it hang on the least of those.
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        below = edges.join(least, "u")
-        edges = below.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = materialize(edges, "stars")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        below = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = materialize(below.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "stars")
+        discard(large)
         now = state(edges)
         if now == seen:
             break
