@@ -5,7 +5,8 @@ from its letters and marks: counts of each character class, counts of class
 pairs, the share of distinct words and word lengths; a hidden layer h follows.
 Gated attention a_k = softmax(w . (tanh(V h_k) * sigmoid(U h_k))) is learned
 from document labels alone, and the score is the logistic value of the weighted
-passage representation sum a_k h_k.
+passage representation sum a_k h_k.  Passages are encoded apart (a word that a
+passage's edge cuts is two words), so no more than ``BLOCK`` are in work at once.
 
 Only the fit reads labels: of each label, the ``SAMPLE`` rows with the least
 hash among those with crc32(doc_id) mod 3 other than 1, weighted back to the
@@ -28,10 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.neardup import word_hashes
-from tessera.llm.tokens import text_blocks
+from tessera.llm.tokens import forget, text_blocks
 from tessera.llm.util import columns, free_name
 
 PASSAGE = 768
+BLOCK = 256  # passages whose features are worked out at once, so that a long text takes no more room than its features
 SAMPLE = 1500
 HIDDEN, GATE = 24, 12
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[]_{|}~"
@@ -45,36 +47,41 @@ _COARSE = np.minimum(np.where((_CLASS >= 6) & (_CLASS < 32), 6, np.where(_CLASS
 WIDTH = CLASSES + 64 + 4
 
 
+def passages_of(texts: list[str]) -> tuple[list[bytes], np.ndarray]:
+    """(passages, each with a space at its end, number of passages of each text)."""
+    raw = [t.encode("utf-8", "surrogatepass") or b" " for t in texts]
+    return [r[at : at + PASSAGE] + b" " for r in raw for at in range(0, len(r), PASSAGE)], np.array([-(-len(r) // PASSAGE) for r in raw], dtype=np.int64)
+
+
 def passage_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(features of all passages, number of passages of each text)."""
-    raw = [t.encode("utf-8", "surrogatepass") + b" " for t in texts]
-    sizes = np.array([len(r) for r in raw])
-    counts = -(-sizes // PASSAGE)
+    """(features of all passages, number of passages of each text); a passage's features depend on its bytes alone."""
+    passages, counts = passages_of(texts)
+    return np.concatenate([_features(passages[at : at + BLOCK]) for at in range(0, len(passages), BLOCK)]), counts
+
+
+def _features(raw: list[bytes]) -> np.ndarray:
+    n, sizes = len(raw), np.array([len(r) for r in raw])
     data = np.frombuffer(b"".join(raw), dtype=np.uint8)
-    start = np.cumsum(sizes) - sizes
-    within = np.arange(len(data)) - np.repeat(start, sizes)
-    place = np.repeat(np.cumsum(counts) - counts, sizes) + within // PASSAGE
-    n = int(counts.sum())
-    total = np.bincount(place, minlength=n).astype(np.float64)
+    place = np.repeat(np.arange(n), sizes)
+    total = sizes.astype(np.float64)
     out = np.zeros((n, WIDTH), dtype=np.float32)
     single = np.bincount(place * CLASSES + _CLASS[data], minlength=n * CLASSES).reshape(n, CLASSES)
     out[:, :CLASSES] = np.sqrt(single / total[:, None])
     coarse = _COARSE[data]
-    pair = coarse[:-1] * 8 + coarse[1:]
     same = place[:-1] == place[1:]
-    pairs = np.bincount((place[:-1] * 64 + pair)[same], minlength=n * 64).reshape(n, 64)
+    pairs = np.bincount((place[:-1] * 64 + coarse[:-1] * 8 + coarse[1:])[same], minlength=n * 64).reshape(n, 64)
     out[:, CLASSES : CLASSES + 64] = np.sqrt(pairs / total[:, None])
     hashes, first = word_hashes(data)
     at = place[first]
     words = np.maximum(np.bincount(at, minlength=n), 1)
-    # A passage's number takes the low bits of a hash's place: equal words of a passage are equal keys.
+    # A passage's number takes the high bits of a hash's place: equal words of a passage are equal keys.
     keys = np.unique((hashes & np.uint64(0xFFFFFFFF)) | (at.astype(np.uint64) << np.uint64(32)))
     distinct = np.bincount((keys >> np.uint64(32)).astype(np.int64), minlength=n)
     out[:, -4] = distinct / words
     out[:, -3] = np.log1p(total / words)
     out[:, -2] = np.log1p(words)
-    out[:, -1] = (total < PASSAGE).astype(np.float32)
-    return out, counts
+    out[:, -1] = (total <= PASSAGE).astype(np.float32)
+    return out
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -141,7 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, texts in text_blocks(batch):
+            for first, texts in text_blocks(batch, chars=250_000):
                 x, counts = passage_features(texts)
                 ends = np.cumsum(counts)
                 bags = [x[a:b].tobytes() for a, b in zip(ends - counts, ends, strict=True)]
@@ -166,21 +173,25 @@ def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, ke
             return np.full(len(texts), float(params["share"]))
         return forward(params, *passage_features(texts))["score"].astype(np.float64)
 
+    chars = 250_000
+
     if keep is not None:
         name = free_name(docs, "_score")
         at = docs.columns.index("text")
 
         def run_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            forget()
             for batch in batches:
-                got = [scores(texts) for _, texts in text_blocks(pa.RecordBatch.from_arrays([batch.column(at)], names=["text"]))]
+                got = [scores(texts) for _, texts in text_blocks(pa.RecordBatch.from_arrays([batch.column(at)], names=["text"]), chars=chars)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(got) if got else [], pa.float64())], names=[*batch.schema.names, name])
 
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
         return docs.mapInArrow(run_all, f"{fields}, `{name}` double").where(F.col(name) >= keep).drop(name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
-            for first, texts in text_blocks(batch):
+            for first, texts in text_blocks(batch, chars=chars):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(scores(texts), pa.float64())], names=["doc_id", "score"])
 
     out = columns(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, score double")
