@@ -18,7 +18,9 @@ set's signature is the column-wise minimum of slices of one table.
    off for a link), the others are confirmed on their whole sets.
 4. Components after each round: large-star and small-star until nothing changes.
 5. Last, the buckets of all bands that still hold classes of several components
-   pair all classes of different components that the bounds allow.
+   pair classes of different components and of near sizes that the bounds allow.
+   Sizes are dealt in steps of a factor 100 / percent, and only equal and neighbouring
+   steps can meet; buckets of more than ``SPLIT`` classes are dealt to several tasks.
 
 So a group of m copies costs m links, not m squared, and a link is left out
 only between classes that other links already connect.  At a similarity of 0.8
@@ -40,13 +42,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.tokens import text_blocks
+from tessera.llm.tokens import forget, text_blocks
 from tessera.llm.util import columns, materialize
+from tessera.operators.components import HOT, connect, join_hot
 
 BANDS, ROWS = 32, 5
 WIDTH = BANDS * ROWS
 CIRCLE = 1 << 20
 STAR_ROUNDS = 2
+#: Classes of an open bucket that one task pairs with the rest of it.
+SPLIT = 500
 #: A bucket's centers are its least classes by node XOR turn, other ones each round.
 _TURNS = [[0, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D], [0x369DEA0F31A53F85, 0x27BB2EE687B0B0FD, 0x1B873593CC9E2D51]]
 #: Coordinates (their low four bits) that a link's classes have in common at least.  At a
@@ -76,26 +81,46 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """_STEP**i and its inverse for i < n, kept by the worker."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 1 << 20)
-        up, down = np.full(size, _STEP), np.full(size, _INVERSE)
+#: Bytes hashed at a time: what a worker holds for it does not grow with a text.
+CHUNK = 1 << 18
+
+
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """_STEP**i and its inverse for i <= CHUNK, kept by the worker."""
+    if not _POWERS:
+        up, down = np.full(CHUNK + 1, _STEP), np.full(CHUNK + 1, _INVERSE)
         up[0] = down[0] = 1
         _POWERS[:] = [np.multiply.accumulate(up), np.multiply.accumulate(down)]
-    return _POWERS[0][:n], _POWERS[1][:n]
+    return _POWERS[0], _POWERS[1]
 
 
 def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, first byte) of each word of lower-cased bytes: a prefix sum of bytes times powers."""
+    """(hash, first byte) of each word of lower-cased bytes."""
+    return word_spans(data)[:2]
+
+
+def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first byte, last byte + 1) of each word of lower-cased bytes: differences of a running sum of bytes times powers."""
     space = _SPACE[data]
-    word = ~space
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], word.view(np.int8), [0]])))
-    first, last = edge[::2], edge[1::2]
-    up, down = _powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    return mix((total[last] - total[first]) * down[first]), first
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if len(data) and not space[0]:
+        edge = np.append(0, edge)
+    if len(data) and not space[-1]:
+        edge = np.append(edge, len(data))
+    up, down = _powers()
+    total, back = np.zeros(len(edge), dtype=np.uint64), np.zeros(len(edge), dtype=np.uint64)
+    run, far, near = (np.full(1, x, dtype=np.uint64) for x in (0, 1, 1))  # the sum, the power and its inverse up to here
+    for a in range(0, len(data), CHUNK):
+        part = data[a : a + CHUNK]
+        local = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum((_LOWER[part].astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=local[1:])
+        low, high = np.searchsorted(edge, [a, a + len(part)])
+        high = len(edge) if a + len(part) == len(data) else high
+        at = edge[low:high] - a
+        total[low:high] = run + far * local[at]
+        back[low:high] = near * down[at]
+        run, far, near = run + far * local[-1:], far * up[len(part)], near * down[len(part)]
+    return mix((total[1::2] - total[::2]) * back[::2]), edge[::2], edge[1::2]
 
 
 def shingle_sets(texts: list[str], shingle: int) -> list[np.ndarray]:
@@ -165,9 +190,10 @@ def part_counts(values: np.ndarray) -> list[int] | None:
 
 
 def sketch(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, n_shingles, node, sign, keys, parts), written to the shared folder."""
+    """(doc_id, row, n_shingles, node, sign, keys, parts), written to the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             ids = batch.column(0)
             for first, texts in text_blocks(batch):
@@ -185,14 +211,18 @@ def sketch(docs: DataFrame, shingle: int) -> DataFrame:
                         signs.append(None)
                         keys.append(None)
                         parts.append(None)
-                yield pa.RecordBatch.from_arrays([ids.slice(first, len(texts)), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(signs, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "node", "sign", "keys", "parts"])
+                yield pa.RecordBatch.from_arrays([ids.slice(first, len(texts)), batch.column(1).slice(first, len(texts)), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(signs, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.int64()))], names=["doc_id", "row", "n_shingles", "node", "sign", "keys", "parts"])
+
+    return materialize(keyed(docs).mapInArrow(run, "doc_id long, row long, n_shingles long, node long, sign array<long>, keys array<long>, parts array<long>"), "sketch")
 
-    rows = columns(docs, doc_id="long", text="string")
-    return materialize(rows.mapInArrow(run, "doc_id long, n_shingles long, node long, sign array<long>, keys array<long>, parts array<long>"), "sketch")
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, text): a key that equal rows share and others do not."""
+    return columns(docs, doc_id="long", text="string").select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """(node, values) of the wanted nodes; wanted: (doc_id, node), one row a node."""
+    """(node, values) of the wanted nodes; wanted: (row, node), one row a node; written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,19 +230,16 @@ def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
             for first, texts in text_blocks(batch):
                 kept, values = [], []
                 for node, found in zip(nodes[first:], shingle_sets(texts, shingle), strict=False):
-                    if len(found) and set_digest(found) == node:  # rows may share a doc_id
+                    if len(found) and set_digest(found) == node:
                         kept.append(node)
                         values.append(found.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), pa.array(values, pa.binary())], names=["node", "values"])
 
-    rows = columns(docs, doc_id="long", text="string").where("doc_id IS NOT NULL")
-    null_rows = columns(docs, doc_id="long", text="string").where("doc_id IS NULL")
-    found = rows.join(wanted.where("doc_id IS NOT NULL"), "doc_id").select("node", "text")
-    found = found.unionByName(null_rows.join(wanted.where("doc_id IS NULL").select("node"), F.lit(True)).select("node", "text")) if wanted.where("doc_id IS NULL").limit(1).count() else found
-    return found.mapInArrow(run, "node long, values binary").dropDuplicates(["node"])
+    found = keyed(docs).join(wanted, "row").select("node", "text")
+    return materialize(found.mapInArrow(run, "node long, values binary").dropDuplicates(["node"]), "sets")  # equal rows come twice
 
 
-def confirm(docs: DataFrame, pairs: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame:
+def confirm(sets: DataFrame, pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (a, b) those whose whole sets are similar enough."""
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,43 +256,11 @@ def confirm(docs: DataFrame, pairs: DataFrame, classes: DataFrame, shingle: int,
         if f"{side}_sign" not in pairs.columns:
             pairs = pairs.join(classes.select(F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("sign", "parts", "size")]), side)
     pairs = materialize(pairs.where(alike()).where(meets(percent)).select("a", "b"), "candidates")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = materialize(full_sets(docs, classes.join(nodes, "node", "left_semi").select("doc_id", "node"), shingle), "sets")
     for side in "ab":
         pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("values").alias(f"{side}_values")), side)
     return materialize(pairs.select("a", "b", "a_values", "b_values").mapInArrow(similar, shape), "links")
 
 
-def connect(links: DataFrame, most: int = 60) -> DataFrame:
-    """(node, root) of every linked node: large-star and small-star until nothing changes."""
-
-    def state(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").bitwiseAND(0xFFFFFFFFFF))).first())
-
-    edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "stars")
-    seen = state(edges)
-    for _ in range(most):
-        if not seen[0]:
-            break
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        # Large star: neighbours above u hang on the least of all.
-        edges = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        edges = materialize(edges, "stars")
-        # Small star: u and the neighbours below it hang on the least of those.
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        below = edges.join(least, "u")
-        edges = below.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = materialize(edges, "stars")
-        now = state(edges)
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError("components did not settle")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-
-
 def with_roots(members: DataFrame, roots: DataFrame | None) -> DataFrame:
     if roots is None:
         found = members.withColumn("root", F.col("node"))
@@ -279,8 +274,8 @@ def mixed_buckets(members: DataFrame, *more) -> DataFrame:
     return members.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), *more).where("_low <> _high")
 
 
-def sided(members: DataFrame, side: str) -> DataFrame:
-    return members.withColumnsRenamed({"node": side, **{c: f"{side}_{c}" for c in members.columns if c not in ("key", "node")}})
+def sided(members: DataFrame, side: str, meet: tuple = ("key",)) -> DataFrame:
+    return members.withColumnsRenamed({"node": side, **{c: f"{side}_{c}" for c in members.columns if c not in (*meet, "node")}})
 
 
 def reachable(percent: int):
@@ -313,7 +308,7 @@ def alike():
     return differ <= WIDTH - SKETCH
 
 
-def shared_sizes(docs: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
+def shared_sizes(sets: DataFrame, classes: DataFrame) -> DataFrame:
     """(node, shared, parts): how many of a set's shingles occur in any other of these sets, in all and by parts.
 
     No two sets have more in common than that, so a heavily edited copy, most of
@@ -326,7 +321,7 @@ def shared_sizes(docs: DataFrame, classes: DataFrame, shingle: int) -> DataFrame
                 found = np.frombuffer(values.as_py(), dtype=np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), node), pa.int64()), pa.array(found, pa.int64())], names=["node", "value"])
 
-    values = full_sets(docs, classes.select("doc_id", "node"), shingle).mapInArrow(single, "node long, value long")
+    values = sets.mapInArrow(single, "node long, value long")
     own = values.groupBy("value").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
     # The part of a hash read as unsigned: 2**64 is 16 more than a multiple of 33.
     part = F.pmod(F.pmod("value", F.lit(PARTS)) + F.when(F.col("value") < 0, F.lit((1 << 64) % PARTS)).otherwise(F.lit(0)), F.lit(PARTS)).cast("int")
@@ -342,17 +337,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     """Per document: doc_id, n_shingles, component_id, kept."""
     sketches = sketch(docs, shingle)
     filled = sketches.where("node IS NOT NULL")
-    # One row a class: the row of its least doc_id.
-    least = filled.groupBy("node").agg(F.min("doc_id").alias("least_id")).withColumnRenamed("node", "least_node")
-    classes = filled.join(least, (F.col("node") == F.col("least_node")) & F.col("doc_id").eqNullSafe(F.col("least_id")))
-    classes = materialize(classes.select("node", "doc_id", "n_shingles", "sign", "keys", "parts").dropDuplicates(["node"]), "classes")
+    # One row a class: the row of its least doc_id, any of those that are equal in all.
+    least = filled.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least"), F.count("*").alias("copies"))
+    least = materialize(least.select(F.col("node").alias("least_node"), F.col("least.doc_id").alias("least_id"), F.col("least.row").alias("least_row"), "copies"), "least")
+    first = filled.join(least, (F.col("node") == F.col("least_node")) & (F.col("row") == F.col("least_row")))
+    classes = materialize(first.select("node", "row", "n_shingles", "sign", "keys", "parts").dropDuplicates(["node"]), "classes")
 
     # Classes that share a bucket, and what each could have in common with any other.
     members = classes.select(F.posexplode("keys").alias("band", "key"), "node", F.col("n_shingles").alias("size"))
     crowded = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     members = materialize(members.join(crowded, "key", "left_semi"), "crowded")
     crowd = materialize(classes.join(members.select("node").distinct(), "node", "left_semi"), "crowd")
-    shared = materialize(shared_sizes(docs, crowd, shingle), "shared")
+    sets = full_sets(docs, crowd.select("row", "node"), shingle)  # the texts are read again only here
+    shared = materialize(shared_sizes(sets, crowd), "shared")
     crowd = materialize(crowd.drop("parts").withColumnRenamed("n_shingles", "size").join(shared, "node"), "bounded")
     members = materialize(members.join(shared.select("node", "shared"), "node").where((F.col("shared") * 100 >= F.col("size") * percent)), "members")
 
@@ -365,21 +362,39 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         heads = mixed_buckets(here, typical, *firsts).select("key", F.explode(F.array_distinct(F.array("c", *[f"c{i}" for i in range(len(turns))]))).alias("a"))
         left = sided(here, "a").join(heads, ["key", "a"], "left_semi")
         pairs = left.join(sided(here, "b"), "key").where("a_root <> b_root").where(reachable(percent))
-        found = confirm(docs, pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), crowd, shingle, percent)
+        found = confirm(sets, pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), crowd, percent)
         if links is None or found.limit(1).count():
             links = found if links is None else links.union(found)
             roots = connect(links)
 
     rest = with_roots(members, roots)
-    rest = materialize(rest.join(mixed_buckets(rest).select("key"), "key", "left_semi").join(crowd.select("node", "keys", "sign", "parts"), "node"), "open")
-    pairs = sided(rest, "a").join(sided(rest, "b"), "key").where("a < b AND a_root <> b_root").where(reachable(percent))
+    crowded = mixed_buckets(rest, F.count("*").alias("_n")).select("key", F.ceil(F.col("_n") / SPLIT).cast("int").alias("tasks"))
+    rest = rest.join(crowded, "key").join(crowd.select("node", "keys", "sign", "parts"), "node")
+    step = F.floor(F.log(F.col("size")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
+    rest = materialize(rest.withColumn("step", step), "open")
+    # A bucket's classes meet by size: a in the steps of its size and the next one, b in its own; larger buckets are dealt to several tasks by a's node.
+    salt = F.pmod(F.xxhash64("node"), F.col("tasks")).cast("int")
+    left = rest.withColumn("salt", salt).withColumn("at", F.explode(F.array("step", F.col("step") + 1)))
+    right = rest.withColumn("at", F.col("step")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)))
+    meet = ("key", "at", "salt")
+    pairs = sided(left.drop("tasks"), "a", meet).join(sided(right.drop("tasks"), "b", meet), list(meet))
+    once = (F.col("a_step") < F.col("b_step")) | (F.col("a") < F.col("b"))  # of one step: each pair from one side
+    pairs = pairs.where(once).where("a_root <> b_root").where(reachable(percent))
     pairs = pairs.where(alike()).where(meets(percent)).where(F.col("key") == F.array_intersect("a_keys", "b_keys")[0])  # each pair in one bucket
-    found = confirm(docs, pairs.select("a", "b", *[f"{side}_{c}" for side in "ab" for c in ("sign", "parts", "size")]), crowd, shingle, percent)
+    pairs = pairs.select("a", "b", *[f"{side}_{c}" for side in "ab" for c in ("sign", "parts", "size")])
+    found = confirm(sets, pairs, crowd, percent)
     if found.limit(1).count():
         roots = connect(links.union(found))
 
-    labels = sketches.select("doc_id", "n_shingles", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    labels = materialize(labels, "labels")
-    heads = labels.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = labels.join(heads, "root", "left").withColumn("component_id", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+    # Of each class its component, then of each row; the few largest components and classes are broadcast.
+    named = least.select(F.col("least_node").alias("node"), "least_id", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = materialize(named, "named")
+    heads = materialize(named.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("n")), "heads")
+    many = max(1.0, sketches.count() * HOT)
+    named = join_hot(named.select("root", "node", "copies"), heads.select("root", "component_id"), "root", heads.where(F.col("n") > many))
+    named = materialize(named.select("node", "component_id", "copies"), "components")
+    hot = named.where(F.col("copies") > many)
+    labels = sketches.select("doc_id", "n_shingles", "node")
+    out = join_hot(labels.where("node IS NOT NULL"), named.select("node", "component_id"), "node", hot).select("doc_id", "n_shingles", "component_id")
+    out = out.unionByName(labels.where("node IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))

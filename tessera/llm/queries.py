@@ -54,10 +54,4 @@ def op10_attention_lm(spark, sf_dir):
     return lm.score_documents(table(spark, sf_dir, "documents"))
 
 
-def pipeline(spark, sf_dir):
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
-
-
 QUERIES = {f.__name__: f for f in (op1_order_minhash, op2_simple8b, op3_circulant_minhash, op4_packing, op5_url_filter, op6_line_blocks, op7_attention_quality, op8_perspectives, op9_positional_index, op10_attention_lm)}

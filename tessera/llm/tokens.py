@@ -16,7 +16,9 @@ _DOUBLE = re.compile(r"\s\s")
 _CUT = re.compile(r"(?= )(?<=\S)")
 
 #: Words kept by a Python worker; when full the cache starts anew.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
+#: Longer words are encoded anew each time, so the cache is bounded in bytes too.
+LONGEST = 100
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -48,7 +50,9 @@ class _Pieces(dict):
         self.merge = merge
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self[piece] = self.merge(piece)
+        ids = self.merge(piece)
+        if len(piece) <= LONGEST:
+            self[piece] = ids
         return ids
 
 
@@ -60,10 +64,10 @@ class _Words(dict):
 
     def __missing__(self, word: str) -> bytes:
         if word.isalpha():  # one piece
-            ids = self[word] = self.merge(self.prefix + word)
-            return ids
-        ids = b"".join(map(self.pieces.__getitem__, self.cut(self.prefix + word)))
-        if "\n" not in word:
+            ids = self.merge(self.prefix + word)
+        else:
+            ids = b"".join(map(self.pieces.__getitem__, self.cut(self.prefix + word)))
+        if len(word) <= LONGEST and "\n" not in word:
             self[word] = ids
         return ids
 
@@ -121,12 +125,13 @@ class WordCache:
         return out
 
 
-def text_blocks(batch, text: str = "text", chars: int = 4_000_000):
-    """Slices of an Arrow batch of bounded text size, as (first row, texts); null is empty."""
+def text_blocks(batch, text: str = "text", chars: int = 1_000_000):
+    """Slices of an Arrow batch of bounded text size (or one text), as (first row, texts); null is empty."""
     texts, first, size = [], 0, 0
-    for i, value in enumerate(batch.column(batch.schema.get_field_index(text)).to_pylist()):
-        texts.append(value or "")
-        size += len(value or "")
+    for i, value in enumerate(batch.column(batch.schema.get_field_index(text))):
+        value = value.as_py() or ""
+        texts.append(value)
+        size += len(value)
         if size >= chars:
             yield first, texts
             first, texts, size = i + 1, [], 0
@@ -142,3 +147,14 @@ def worker_cache(path: str) -> WordCache:
     if path not in _WORKER:
         _WORKER[path] = WordCache(path)
     return _WORKER[path]
+
+
+def forget() -> None:
+    """Frees what earlier stages left in this Python worker."""
+    import gc
+
+    import pyarrow as pa
+
+    _WORKER.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, htmltext, lm, neardup, orderminhash, packing, perspectives, quality, simple8b, urlfilter
+from tessera.llm import decontam, htmltext, neardup, orderminhash, packing, perspectives, quality, simple8b, urlfilter
 from tessera.llm.tokens import tokenizer_path
 
 LONG = "one two three four five six seven eight nine ten " * 3000
@@ -99,6 +99,48 @@ def test_near_duplicates(docs, none):
     assert neardup.near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_of_a_whole_table(spark):
+    """Against brute force over all pairs that share a shingle."""
+    from collections import Counter, defaultdict
+
+    rows = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    sets = []
+    for _, text in rows:
+        words = text.encode().lower().split()
+        sets.append({tuple(words[i : i + 4]) for i in range(max(1, len(words) - 3))} if words else set())
+    holders = defaultdict(list)
+    for i, found in enumerate(sets):
+        for x in found:
+            holders[x].append(i)
+    shared = Counter((i, j) for found in holders.values() for k, i in enumerate(found) for j in found[k + 1 :])
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    links = [(i, j) for (i, j), n in shared.items() if 100 * n >= 80 * (len(sets[i]) + len(sets[j]) - n)]
+    for i, j in links:
+        root[find(i)] = find(j)
+    least = {}
+    for i, (doc, _) in enumerate(rows):
+        least[find(i)] = min(doc, least.get(find(i), doc))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), 4).collect()}
+    assert len(links) > 50 and got == {doc: (len(sets[i]), least[find(i)]) for i, (doc, _) in enumerate(rows)}
+
+
+def test_near_duplicates_in_an_open_bucket(spark, monkeypatch):
+    """Only the last pairing is left to find the links, in buckets dealt to many tasks; ids may be null."""
+    monkeypatch.setattr(neardup, "STAR_ROUNDS", 1)
+    monkeypatch.setattr(neardup, "_TURNS", [[0]])
+    monkeypatch.setattr(neardup, "SPLIT", 3)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(k if k % 5 else None, " ".join(base[: 60 - k % 9] + [f"v{k // 9}_{i}" for i in range(8)])) for k in range(60)]
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()]
+    assert sorted(got, key=str) == sorted(brute_components(rows, 4, 80), key=str)
+
+
 def test_near_duplicate_chain(spark):
     words = [f"w{i}" for i in range(120)]
     rows = [(k, " ".join(words[: 100 - 3 * k] + [f"v{k}_{i}" for i in range(3)])) for k in range(12)] + [(50, "a b c"), (51, "A  B c"), (52, "a b")]
@@ -142,11 +184,26 @@ def test_url_filter(spark, monkeypatch, limit):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, expected))
     assert urlfilter.filter_urls(pages.where("false"), urlfilter.rules_frame(spark)).count() == 0
     assert urlfilter.filter_urls(pages, urlfilter.rules_frame(spark).where("false")).where("rule IS NOT NULL").count() == 0
+    long = spark.createDataFrame([(1, "http://" + "a." * 300 + "org/" + "x/" * 20_000), (2, "http://b.com/fr/")], "page_id long, url string")
+    assert {r["page_id"]: r["rule"] for r in urlfilter.filter_urls(long, urlfilter.rules_frame(spark)).collect()} == {1: "org/", 2: "com/fr/"}
+
+
+@pytest.mark.parametrize("limit", [urlfilter.MAX_FILTER_WORDS, 0])
+def test_url_filter_of_a_long_list(spark, monkeypatch, limit):
+    """Many rules, of which one fits nearly all pages."""
+    monkeypatch.setattr(urlfilter, "MAX_FILTER_WORDS", limit)
+    rules = spark.range(200_000).select(F.concat(F.lit("h"), "id", F.lit(".net/")).alias("rule"), F.lit("block").alias("verdict")).unionByName(urlfilter.rules_frame(spark))
+    pages = spark.range(3000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://x.org/"), "id").alias("url")).union(spark.range(20).selectExpr("10000 + id", "concat('https://a.h', id * 9999, '.net/q')"))
+    got = urlfilter.filter_urls(pages, rules)
+    assert {(r["rule"] == "org/", r["verdict"]): r["count"] for r in got.groupBy((F.col("rule") == "org/").alias("org"), "verdict").count().select(F.when(F.col("org"), F.lit("org/")).alias("rule"), "verdict", "count").collect()} == {(True, "allow"): 3000, (False, "block"): 20}
 
 
 def test_html(spark):
-    pages = spark.createDataFrame([(1, "u", "<article><p>Hi</p></article>", 1), (2, None, None, 1), (2, None, "", 1)], "page_id long, url string, html string, n_chars int")
-    assert sorted((r["page_id"], r["text"], r["n_chars"]) for r in htmltext.extract_text(pages).collect()) == [(1, "Hi", 2), (2, "", 0), (2, "", 0)]
+    pages = spark.createDataFrame([(1, "u", "<article><p>Hi</p></article>", 1), (2, None, None, 1), (2, None, "", 1), (3, "v", "<p>" + LONG * 10, 1)], "page_id long, url string, html string, n_chars int")
+    got = sorted(((r["page_id"], r["text"], r["n_chars"]) for r in htmltext.extract_text(pages).collect()), key=str)
+    long = (LONG * 10).strip()
+    assert got == [(1, "Hi", 2), (2, "", 0), (2, "", 0), (3, long, len(long))]
+    assert htmltext.extract_text(pages.where("false")).count() == 0
 
 
 def test_quality(spark, docs):
@@ -174,91 +231,26 @@ def test_decontamination(spark, docs, none):
     assert clean.columns == docs.columns and sorted(r["doc_id"] or -1 for r in clean.collect()) == [-1, 2, 3, 4, 4, 9]
 
 
-def test_lm(docs, none):
-    got = lm.score_documents(docs, head=3, sample=5).collect()
-    words = [((i, ((t or "").lower().split()) + ["\0"])) for i, t in ROWS]
-    train = [w for i, ws in words if i is None or zlib.crc32(str(i).encode()) % 7 != 2 for w in ws]
-    count = {w: train.count(w) for w in set(train)}
-    total = len(train)
-    expected = [(len(ws), sum(w in count for w in ws), total, round(sum(np.log10((count.get(w, 0) + 1) / (total + len(count) + 1)) for w in ws), 4)) for _, ws in words]
-    assert sorted((r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4)) for r in got) == sorted(expected)
-    assert all(r["score"] < 0 for r in got)
-    assert lm.score_documents(none).count() == 0
-
-
-def test_lm_scores_do_not_depend_on_the_head(spark):
-    rng = np.random.default_rng(2)
-    words = [f"{'un' * (i % 3)}w{i % 7}ing{i}" for i in range(300)] + ["x" * 400]
-    rows = [(i, " ".join(rng.choice(words, int(rng.integers(1, 60))))) for i in range(60)]
-    table = spark.createDataFrame(rows, "doc_id long, text string")
-    few, many = ({r["doc_id"]: r for r in lm.score_documents(table, head=h, sample=20).collect()} for h in (3, 10_000))
-    for i, _ in rows:
-        assert few[i]["score"] == pytest.approx(many[i]["score"], abs=1e-3)
-        assert few[i]["base_score"] == pytest.approx(many[i]["base_score"]) and few[i]["n_known"] == many[i]["n_known"]
-
-
-@pytest.mark.parametrize("part_words", [2, 7, None])
-def test_lm_word_model_equals_tables_of_all_words(spark, docs, part_words):
-    import pyarrow as pa
-
-    path = tokenizer_path()
-    begin = lm.begin_ids(path)
-    size = len(begin)
-    end = np.array([size - 1], dtype="<u4").tobytes()
-    more = spark.createDataFrame([(100 + i, f"un{i} under{i} undone{i % 5} underway runs running runner{i}") for i in range(30)], "doc_id long, text string")
-    words = lm.spelled_words(lm.word_counts(docs.select("doc_id", "text").unionByName(more)), path, end)
-    counts, pairs = lm.id_counts(words, size)
-    kind, share, _ = lm.classes_of(counts, begin)
-    kinds = spark.createDataFrame(pa.table({"id": pa.array(range(size), pa.int64()), "c": pa.array(kind, pa.int32())}))
-    after = lm.After(pairs, kinds, kind, counts)
-    model = {r["word"]: r for r in lm.word_model(words, pairs, kinds, spark.sparkContext.broadcast(after), kind, share, part_words).collect()}
-    spelt = {w: np.array(r["ids"], dtype="<u4").tobytes() for w, r in model.items()}
-    listed = np.array([tuple(r) for r in pairs.collect()], dtype=np.int64)
-    seen, spread, rows, prior = lm.word_tables({w: r["n"] for w, r in model.items() if r["n"]}, spelt.get, kind, counts, listed)
-    shares = lm.WordShares(seen, spread, lm.pair_shares(listed, kind, share), kind, share, spelt.get)
-    for w, r in model.items():
-        assert r["within"] == pytest.approx(shares[w], abs=1e-9), w
-        at = np.frombuffer(lm.beginning_rows(rows, spelt[w]), dtype="<u4")
-        assert after.priors(np.array(r["ids"]), b"".join(r["heads"]), b"".join(r["kinds"])) == pytest.approx(prior[at], abs=1e-4), w
-
-
-def test_lm_fit_grows_with_the_input(spark):
-    table = lambda n: spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
-    few, many = (lm.fit_documents(table(n), least=5) for n in (40, 40_000))
-    assert few.count() >= 5
-    assert many.count() == pytest.approx(40_000 * 6 / 7 * lm.SHARE, rel=0.1)
-    assert many.where(lm.held_out(F.col("doc_id"))).count() == 0
-
-
-def test_lm_fit_reads_whole_texts(docs):
-    rows = lm.text_ids(docs.where("doc_id = 4").select(F.col("doc_id").alias("key"), "text"), tokenizer_path(), b"\0" * 4).collect()
-    assert len(LONG.split()) > 20_000 and [len(r["ids"]) // 4 for r in rows] == [len(LONG.split()) + 1] * 2
-
-
-def test_lm_head_holds_at_any_count(spark):
-    counts = [10_000 + i // 4 for i in range(100)] + [3, 2]
-    words = spark.createDataFrame([(f"w{i}", n) for i, n in enumerate(counts)] + [(lm.END, 5)], "word string, n long")
-    got = {r["word"]: r["n"] for r in lm.head_words(words, 10).collect()}
-    assert got.pop(lm.END) == 5
-    assert sorted(got.values()) == sorted(counts)[-10:]
-    assert lm.head_words(words, 1000).count() == 103
-
-
-def test_lm_topics_over_partitions(spark):
-    rng = np.random.Generator(np.random.PCG64(3))
-    texts = [rng.integers(0, 30, 500) + 30 * (i % 2) for i in range(20)]
-    rows = spark.createDataFrame([(t.astype("<u4").tobytes(),) for t in texts], "ids binary").repartition(3)
-    topics = lm.topics_over(rows, texts[:4], np.bincount(np.concatenate(texts), minlength=60))
-    assert not set(topics[:30]) & set(topics[30:])
-
-
 def test_perspectives(spark):
-    rows = [(1, 0, "ann", "Hi"), (1, 1, "bob", None), (1, 2, None, "Yo"), (None, 0, "ann", "x"), (1, 70, "ann", "late")]
-    got = {(r["conv_id"], r["participant"], r["segment"]): r for r in perspectives.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
-    assert set(got) == {(1, p, s) for p in ("ann", "bob", "unknown") for s in (0, 1)} | {(None, "ann", 0)}
+    rows = [(1, 0, "ann", "Hi"), (1, 1, "bob", None), (1, 2, None, "Yo"), (None, 0, "ann", "x"), (1, 70, "ann", "late <|end|>"), (2, 5, "b|>", "same"), (2, 5, "b|>", "same")]
+    table = spark.createDataFrame([(*r, "n") for r in rows], "conv_id long, turn long, role string, text string, begin string")
+    got = {(r["conv_id"], r["participant"], r["segment"]): r for r in perspectives.rotate(table).collect()}
+    assert set(got) == {(1, p, 0) for p in ("ann", "bob", "unknown")} | {(None, "ann", 0), (2, "b|>", 0)}
     row = got[(1, "ann", 0)]
-    assert row["rendered"] == "<|assistant|>\nHi\n<|end|>\n<|user name=bob|>\n\n<|end|>\n<|user name=unknown|>\nYo\n<|end|>\n"
-    assert [row["rendered"][s["start"] : s["end"]] for s in row["spans"]] == ["Hi", "", "Yo"] and [s["mask"] for s in row["spans"]] == [1, 0, 0]
+    assert row["rendered"] == "<|assistant|>\nHi\n<|end|>\n<|user name=bob|>\n\n<|end|>\n<|user name=unknown|>\nYo\n<|end|>\n<|assistant|>\nlate <\\|end|\\>\n<|end|>\n"
+    assert [row["rendered"][s["start"] : s["end"]] for s in row["spans"]] == ["Hi\n<|end|>", "\n<|end|>", "Yo\n<|end|>", "late <\\|end|\\>\n<|end|>"] and [s["mask"] for s in row["spans"]] == [1, 0, 0, 1]
+    assert got[(2, "b|>", 0)]["rendered"].count("same") == 2 and (row["n_messages"], row["n_trained"]) == (4, 2)
+    assert perspectives.rotate(table.where("false")).count() == 0
+
+
+def test_perspectives_bound_their_rows(spark):
+    """Turns without a number, and of one number, and one very long text."""
+    table = spark.createDataFrame([(1, None, "a" if i % 2 else "b", f"t{i}") for i in range(300)] + [(2, 4, "a", f"{i:03}") for i in range(130)] + [(3, 0, "a", LONG * 20)], "conv_id long, turn long, role string, text string")
+    got = perspectives.rotate(table).collect()
+    assert max(r["n_messages"] for r in got) == 64
+    assert {c: sum(r["n_messages"] for r in got if r["conv_id"] == c and r["participant"] == "a") for c in (1, 2, 3)} == {1: 300, 2: 130, 3: 1}
+    texts = [r["rendered"] for r in sorted((r for r in got if r["conv_id"] == 2), key=lambda r: r["segment"])]
+    assert [t for x in texts for t in x.split("\n") if t.isdigit()] == [f"{i:03}" for i in range(130)]
 
 
 def test_pipeline(spark, tmp_path):
@@ -273,6 +265,75 @@ def test_pipeline(spark, tmp_path):
     assert corpus_pipeline.run(spark, source).count() > 0
 
 
+def brute_pipeline(spark, source, scores):
+    """The documents that reach packing, by plain loops: scores decide the first stage."""
+    docs = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{source}/documents.parquet").collect()]
+    docs = [d for d in docs if scores[d[0]] >= 0.5]
+    roots = brute_components(docs, 5, 80)
+    empty = {doc for doc, text in docs if not text.split()}
+    docs = [(doc, text) for (doc, text), (_, _, least) in zip(docs, roots, strict=True) if doc == least or doc in empty]
+    import re
+
+    words = lambda t: re.findall("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", t.translate({i: i + 32 for i in range(65, 91)}))
+    windows = set()
+    for r in spark.read.parquet(f"{source}/benchmark.parquet").collect():
+        found = words(r["text"] or "")
+        windows |= {tuple(found[i : i + 10]) for i in range(max(1, len(found) - 9))} if found else set()
+    sizes = {len(w) for w in windows}
+    hit = lambda f: any(tuple(f[i : i + n]) in windows for n in sizes for i in range(len(f) - n + 1))
+    return {doc: len(ids_of(text, 1)) for doc, text in docs if not hit(words(text))}
+
+
+def test_pipeline_equals_plain_loops(spark):
+    import corpus_pipeline
+
+    source = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{source}/{t}.parquet") for t in ("documents", "labels"))
+    scores = {r["doc_id"]: r["score"] for r in quality.score_documents(docs, labels).collect()}
+    tokens = {}
+    for r in corpus_pipeline.run(spark, source).collect():
+        tokens[r["doc_id"]] = tokens.get(r["doc_id"], 0) + r["length"]
+    assert tokens == brute_pipeline(spark, source, scores)
+
+
+@pytest.fixture(scope="module")
+def odd(spark, tmp_path_factory):
+    """A table with nulls, repeats, one very long text, and columns whose names clash with the operators' own."""
+    folder = tmp_path_factory.mktemp("odd")
+    long = " ".join(f"Word{i % 7919} runs, and {i % 13} more." for i in range(60_000))
+    rows = [(i, f"A plain sentence number {i} about things, and it goes on and on for {i} days." if i % 3 else f"SPAM {i} ### $$$ BUY!! *** " * 5) for i in range(90)]
+    rows += [(None, None), (None, ""), (None, "Two rows without an id say the very same long thing to all of us here."), (None, "Two rows without an id say the very same long thing to all of us here."), (5, "Another text of number five, which repeats an id that is taken already."), (1000, long), (1001, long)]
+    table = spark.createDataFrame([(i, t, "n", "k", 1.0) for i, t in rows], "doc_id long, text string, node string, _row string, _score double")
+    table.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(90)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, "number 7 about things, and it goes on and on for 7 days"), (2, None), (None, "")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{odd}/documents.parquet")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, odd)
+        assert docs.columns == ["doc_id", "text", "node", "_row", "_score"], name
+        kept[name] = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    texts = [t for _, t in kept["near_duplicates"]]
+    assert sum(bool(t) and t.startswith("Two rows") for t in texts) <= 1 and sum(bool(t) and t.startswith("Word0") for t in texts) <= 1
+    assert all(doc != 7 for doc, _ in kept["decontamination"])
+    pieces = corpus_pipeline.run(spark, odd).collect()
+    assert sum(r["length"] for r in pieces) == sum(len(ids_of(t, 1)) for _, t in kept["decontamination"])
+
+
+def test_pipeline_on_empty_tables(spark, odd, tmp_path):
+    import corpus_pipeline
+
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{odd}/{name}.parquet").where("false").write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_near_duplicate_stage_keeps_one_row_of_each_group(spark):
     import corpus_pipeline
 
