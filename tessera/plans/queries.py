@@ -366,7 +366,7 @@ r AS (SELECT src, {_RANK} AS rank, count(*) OVER () AS n FROM top GROUP BY src)
     "lsh_edges_embeddings": f"WITH {_EDGES} SELECT src, dst, round(score, 6) AS score FROM edges WHERE src <> dst",
     "self_dedup_pairs_documents": f"""{_SELF_DOCS}, named AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first, text FROM documents)
 SELECT a.doc_id, b.doc_id AS dup_id, 1.0::DOUBLE AS score, true AS exact FROM named a JOIN named b ON a.text = b.text AND a.doc_id <> b.doc_id WHERE a.doc_id <> a.first
-UNION ALL SELECT e.src, b.doc_id, round(e.score, 6), false FROM edges e JOIN lost ON lost.id = e.src JOIN named b ON b.first = e.dst WHERE b.first <> e.src""",
+UNION ALL SELECT e.src, b.doc_id, round(e.score, 6), false FROM edges e JOIN lost ON lost.id = e.src JOIN named b ON b.first = e.dst WHERE b.doc_id <> e.src""",
     "strings_selected": f"WITH {_NAMES} SELECT min(pos)::BIGINT AS pos, t AS text FROM listed GROUP BY t",
     "strings_filtered": f"WITH {_NAMES} SELECT pos::BIGINT AS pos, t AS text, true AS exact, 1::BIGINT AS n, t AS duplicate, 1.0::DOUBLE AS score FROM listed QUALIFY row_number() OVER (PARTITION BY t ORDER BY pos) > 1",
     "prepared_records_nation": "SELECT (row_number() OVER (ORDER BY n_nationkey) - 1)::BIGINT AS pos, n_name AS name, CASE WHEN n_nationkey % 3 = 0 THEN '' ELSE n_regionkey::VARCHAR END AS region FROM nation",
