@@ -20,21 +20,21 @@ FROM p LEFT JOIN fit f ON f.r = p.r AND f.k = 1
 OP8 = r"""
 WITH m AS (
   SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) - 1 AS at
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) - 1 AS place
   FROM conversations),
 s AS (SELECT DISTINCT conv_id, role AS participant FROM m),
 x AS (
-  SELECT m.conv_id, s.participant, floor(m.at / 64.0)::BIGINT AS segment, m.at,
+  SELECT m.conv_id, s.participant, floor(m.place / 64.0)::BIGINT AS segment, m.place,
          CASE WHEN m.role = s.participant THEN '<|assistant|>' || chr(10) ELSE '<|user name=' || replace(replace(m.role, '<|', '<\|'), '|>', '|\>') || '|>' || chr(10) END AS head,
          replace(replace(m.text, '<|', '<\|'), '|>', '|\>') || chr(10) || '<|end|>' AS body,
          CASE WHEN m.role = s.participant THEN 1 ELSE 0 END AS mask
   FROM m JOIN s ON m.conv_id IS NOT DISTINCT FROM s.conv_id),
 y AS (
-  SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, participant, segment ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos
+  SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, participant, segment ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos
   FROM x)
 SELECT conv_id, participant, segment,
-       string_agg(head || body || chr(10), '' ORDER BY at) AS rendered,
-       string_agg((pos + length(head)) || ':' || (pos + length(head) + length(body)) || ':' || mask, ',' ORDER BY at) AS spans,
+       string_agg(head || body || chr(10), '' ORDER BY place) AS rendered,
+       string_agg((pos + length(head)) || ':' || (pos + length(head) + length(body)) || ':' || mask, ',' ORDER BY place) AS spans,
        count(*)::BIGINT AS n_messages, sum(mask)::BIGINT AS n_trained
 FROM y GROUP BY conv_id, participant, segment
 """
