@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.tokens import forget, text_blocks
-from tessera.llm.util import columns, materialize
+from tessera.llm.util import columns, discard, materialize
 from tessera.operators.components import HOT, connect, join_hot
 
 BANDS, ROWS = 32, 5
@@ -335,23 +335,28 @@ def shared_sizes(sets: DataFrame, classes: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept."""
-    sketches = sketch(docs, shingle)
+    sketches, made = sketch(docs, shingle), []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        made.append(materialize(df, name))
+        return made[-1]
+
     filled = sketches.where("node IS NOT NULL")
     # One row a class: the row of its least doc_id, any of those that are equal in all.
     least = filled.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least"), F.count("*").alias("copies"))
-    least = materialize(least.select(F.col("node").alias("least_node"), F.col("least.doc_id").alias("least_id"), F.col("least.row").alias("least_row"), "copies"), "least")
+    least = keep(least.select(F.col("node").alias("least_node"), F.col("least.doc_id").alias("least_id"), F.col("least.row").alias("least_row"), "copies"), "least")
     first = filled.join(least, (F.col("node") == F.col("least_node")) & (F.col("row") == F.col("least_row")))
-    classes = materialize(first.select("node", "row", "n_shingles", "sign", "keys", "parts").dropDuplicates(["node"]), "classes")
+    classes = keep(first.select("node", "row", "n_shingles", "sign", "keys", "parts").dropDuplicates(["node"]), "classes")
 
     # Classes that share a bucket, and what each could have in common with any other.
     members = classes.select(F.posexplode("keys").alias("band", "key"), "node", F.col("n_shingles").alias("size"))
     crowded = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members = materialize(members.join(crowded, "key", "left_semi"), "crowded")
-    crowd = materialize(classes.join(members.select("node").distinct(), "node", "left_semi"), "crowd")
+    members = keep(members.join(crowded, "key", "left_semi"), "crowded")
+    crowd = keep(classes.join(members.select("node").distinct(), "node", "left_semi"), "crowd")
     sets = full_sets(docs, crowd.select("row", "node"), shingle)  # the texts are read again only here
-    shared = materialize(shared_sizes(sets, crowd), "shared")
-    crowd = materialize(crowd.drop("parts").withColumnRenamed("n_shingles", "size").join(shared, "node"), "bounded")
-    members = materialize(members.join(shared.select("node", "shared"), "node").where((F.col("shared") * 100 >= F.col("size") * percent)), "members")
+    shared = keep(shared_sizes(sets, crowd), "shared")
+    crowd = keep(crowd.drop("parts").withColumnRenamed("n_shingles", "size").join(shared, "node"), "bounded")
+    members = keep(members.join(shared.select("node", "shared"), "node").where((F.col("shared") * 100 >= F.col("size") * percent)), "members")
 
     links, roots = None, None
     for some in range(STAR_ROUNDS):
@@ -371,7 +376,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     crowded = mixed_buckets(rest, F.count("*").alias("_n")).select("key", F.ceil(F.col("_n") / SPLIT).cast("int").alias("tasks"))
     rest = rest.join(crowded, "key").join(crowd.select("node", "keys", "sign", "parts"), "node")
     step = F.floor(F.log(F.col("size")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
-    rest = materialize(rest.withColumn("step", step), "open")
+    rest = keep(rest.withColumn("step", step), "open")
     # A bucket's classes meet by size: a in the steps of its size and the next one, b in its own; larger buckets are dealt to several tasks by a's node.
     salt = F.pmod(F.xxhash64("node"), F.col("tasks")).cast("int")
     left = rest.withColumn("salt", salt).withColumn("at", F.explode(F.array("step", F.col("step") + 1)))
@@ -388,11 +393,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
     # Of each class its component, then of each row; the few largest components and classes are broadcast.
     named = least.select(F.col("least_node").alias("node"), "least_id", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = materialize(named, "named")
-    heads = materialize(named.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("n")), "heads")
+    named = keep(named, "named")
+    heads = keep(named.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("n")), "heads")
     many = max(1.0, sketches.count() * HOT)
     named = join_hot(named.select("root", "node", "copies"), heads.select("root", "component_id"), "root", heads.where(F.col("n") > many))
     named = materialize(named.select("node", "component_id", "copies"), "components")
+    discard(*made, sets)
     hot = named.where(F.col("copies") > many)
     labels = sketches.select("doc_id", "n_shingles", "node")
     out = join_hot(labels.where("node IS NOT NULL"), named.select("node", "component_id"), "node", hot).select("doc_id", "n_shingles", "component_id")
