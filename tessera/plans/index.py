@@ -36,7 +36,16 @@ class SemanticIndex:
         self.was_string, self.method, self.options = was_string, search, search_options
 
     @classmethod
-    def fit(cls, records: DataFrame | Sequence, columns: Sequence[str] | None = None, encoder: Encoder | None = None, order_by: str | Sequence[str] | None = None, spark: SparkSession | None = None, search: str = "exact", **options) -> SemanticIndex:
+    def fit(
+        cls,
+        records: DataFrame | Sequence,
+        columns: Sequence[str] | None = None,
+        encoder: Encoder | None = None,
+        order_by: str | Sequence[str] | None = None,
+        spark: SparkSession | None = None,
+        search: str = "exact",
+        **options,
+    ) -> SemanticIndex:
         """Group exact copies, encode one record of each key, keep the vectors."""
         spark = records.sparkSession if isinstance(records, DataFrame) else spark or SparkSession.getActiveSession()
         rows, columns, was_string = prepare(spark, records, columns, order_by)
@@ -49,7 +58,17 @@ class SemanticIndex:
         return cls(grouped, vectors, columns, encoder, was_string, search, **options)
 
     @classmethod
-    def fit_embeddings(cls, records: DataFrame | Sequence, embeddings: str | np.ndarray, columns: Sequence[str] | None = None, encoder: Encoder | None = None, order_by: str | Sequence[str] | None = None, spark: SparkSession | None = None, search: str = "exact", **options) -> SemanticIndex:
+    def fit_embeddings(
+        cls,
+        records: DataFrame | Sequence,
+        embeddings: str | np.ndarray,
+        columns: Sequence[str] | None = None,
+        encoder: Encoder | None = None,
+        order_by: str | Sequence[str] | None = None,
+        spark: SparkSession | None = None,
+        search: str = "exact",
+        **options,
+    ) -> SemanticIndex:
         """Like ``fit`` with given vectors: a column of the DataFrame, or an array with a row per record.
 
         The first vector of each key counts.
@@ -116,7 +135,14 @@ class SemanticIndex:
         near = near.where(~F.col("mine").eqNullSafe(F.col("theirs"))).select(F.col("src").alias(POS), "dup_pos", "score", F.lit(False).alias("exact"))
         return DeduplicationResult(decisions, copies.unionByName(near), targets, self.columns, threshold, self.was_string)
 
-    def deduplicate(self, records: DataFrame | Sequence, threshold: float = 0.9, order_by: str | Sequence[str] | None = None, cap: int | None = CAP, embeddings: str | None = None) -> DeduplicationResult:
+    def deduplicate(
+        self,
+        records: DataFrame | Sequence,
+        threshold: float = 0.9,
+        order_by: str | Sequence[str] | None = None,
+        cap: int | None = CAP,
+        embeddings: str | None = None,
+    ) -> DeduplicationResult:
         """Drop records that equal or resemble a fitted one (at most ``cap`` pairs each, ``None``: all); they are never compared with each other.  ``embeddings`` names a column of given vectors."""
         queries = exact.match_exact(self._incoming(records, order_by), self.records, self.columns)
         queries = materialize(queries, "matched")
@@ -126,7 +152,12 @@ class SemanticIndex:
         status = F.when(F.col("group_pos").isNotNull(), "exact").when(F.col("_near"), "semantic").otherwise("selected")
         decisions = materialize(queries.join(near, POS, "left").withColumn("status", status).drop("_near"), "decisions")
         members = self.records.select("group_pos", F.col(POS).alias("dup_pos"))
-        copies = decisions.where("status = 'exact'").select(POS, "group_pos").join(members, "group_pos").select(POS, "dup_pos", F.lit(1.0).alias("score"), F.lit(True).alias("exact"))
+        copies = decisions.where("status = 'exact'").select(POS, "group_pos").join(members, "group_pos").select(
+            POS,
+            "dup_pos",
+            F.lit(1.0).alias("score"),
+            F.lit(True).alias("exact"),
+        )
         alike = edges.join(members, edges["dst"] == members["group_pos"]).select(F.col("src").alias(POS), "dup_pos", "score", F.lit(False).alias("exact"))
         return DeduplicationResult(decisions, copies.unionByName(alike), self.records, self.columns, threshold, self.was_string)
 
@@ -176,11 +207,27 @@ class SemanticIndex:
         out = out.withColumn("score", F.coalesce("selection_score", "relevance"))
         return FilterResult(out.withColumn("status", F.when(F.col("pick").isNotNull(), "selected").otherwise("filtered")))
 
-    def self_find_representative(self, selection_size: int = 10, candidate_limit: int | str = "auto", diversity: float = 0.5, strategy: div.Strategy | str = div.Strategy.MMR, reencode: bool = False) -> FilterResult:
+    def self_find_representative(
+        self,
+        selection_size: int = 10,
+        candidate_limit: int | str = "auto",
+        diversity: float = 0.5,
+        strategy: div.Strategy | str = div.Strategy.MMR,
+        reencode: bool = False,
+    ) -> FilterResult:
         vectors = self.vectors.withColumnRenamed("item", POS)
         return self._diversify(self._self_ranking, self.records.drop("group_pos"), vectors, selection_size, candidate_limit, diversity, strategy, reencode)
 
-    def find_representative(self, records: DataFrame | Sequence, selection_size: int = 10, candidate_limit: int | str = "auto", diversity: float = 0.5, strategy: div.Strategy | str = div.Strategy.MMR, order_by=None, embeddings: str | None = None) -> FilterResult:
+    def find_representative(
+        self,
+        records: DataFrame | Sequence,
+        selection_size: int = 10,
+        candidate_limit: int | str = "auto",
+        diversity: float = 0.5,
+        strategy: div.Strategy | str = div.Strategy.MMR,
+        order_by=None,
+        embeddings: str | None = None,
+    ) -> FilterResult:
         ranks, queries, vectors = self._ranking(records, order_by, embeddings)
         return self._diversify(ranks, queries, vectors, selection_size, candidate_limit, diversity, strategy, False)
 

@@ -50,7 +50,11 @@ def exact_groups_documents(spark, sf_dir):
 
 def bigram_vectors(spark, sf_dir):
     rows = featurize(_table(spark, sf_dir, "documents"), "doc_id", ["text"], HashedBigramEncoder())
-    return rows.select("doc_id", F.posexplode("vector").alias("bucket", "value")).where("value <> 0").select("doc_id", F.col("bucket").cast("long").alias("bucket"), F.col("value").cast("long").alias("value"))
+    return rows.select("doc_id", F.posexplode("vector").alias("bucket", "value")).where("value <> 0").select(
+        "doc_id",
+        F.col("bucket").cast("long").alias("bucket"),
+        F.col("value").cast("long").alias("value"),
+    )
 
 
 def _edges(index: SemanticIndex, k, threshold, skip_self):
@@ -158,7 +162,14 @@ def strings_filtered(spark, sf_dir):
     """The strings dropped, what they equal, and the score of exact copies."""
     result = SemanticIndex.fit(_names(spark, sf_dir), spark=spark).self_deduplicate(0.9)
     first = F.col("duplicates")[0]
-    return result.filtered.select(F.col(POS).alias("pos"), "text", "exact", F.size("duplicates").cast("long").alias("n"), first["record"]["text"].alias("duplicate"), first["score"].alias("score"))
+    return result.filtered.select(
+        F.col(POS).alias("pos"),
+        "text",
+        "exact",
+        F.size("duplicates").cast("long").alias("n"),
+        first["record"]["text"].alias("duplicate"),
+        first["score"].alias("score"),
+    )
 
 
 def prepared_records_nation(spark, sf_dir):
@@ -208,7 +219,11 @@ def rethreshold_embeddings(spark, sf_dir):
 
 def selected_with_duplicates_embeddings(spark, sf_dir):
     found = _embeddings(spark, sf_dir).self_deduplicate(0.35).selected_with_duplicates
-    return found.select("vec_id", F.size("duplicates").cast("long").alias("n"), F.array_join(F.array_sort(F.transform("duplicates", lambda d: d["record"]["vec_id"])), ",").alias("duplicates"))
+    return found.select(
+        "vec_id",
+        F.size("duplicates").cast("long").alias("n"),
+        F.array_join(F.array_sort(F.transform("duplicates", lambda d: d["record"]["vec_id"])), ",").alias("duplicates"),
+    )
 
 
 def dict_to_string_conversations(spark, sf_dir):
@@ -334,15 +349,19 @@ listed AS (SELECT pos, t FROM nations UNION ALL SELECT a + pos, t || ' again' FR
 _RANK = "row_number() OVER (ORDER BY avg(score) DESC, src)"
 
 ORACLES = {
-    "exact_dedup_documents": "SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first_id, doc_id = min(doc_id) OVER (PARTITION BY text) AS kept FROM documents",
+    "exact_dedup_documents": """SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first_id, doc_id = min(doc_id) OVER (PARTITION BY text) AS kept
+  FROM documents""",
     "exact_dedup_multikey": "SELECT c_custkey, min(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment) AS first_key FROM customer",
     "exact_groups_documents": "SELECT min(doc_id) AS first_id, count(*)::BIGINT AS copies FROM documents GROUP BY text HAVING count(*) > 1",
     "bigram_vectors": f"WITH {_BIGRAMS} SELECT doc_id, bucket, value FROM vec",
     "threshold_edges_embeddings": f"WITH {_EDGES} SELECT src, dst, round(score, 6) AS score FROM edges",
-    "topk_edges_embeddings": f"WITH {_V} SELECT a.vec_id AS src, b.vec_id AS dst, round({_COS}, 6) AS score FROM v a, v b WHERE a.vec_id <> b.vec_id QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) <= 10",
+    "topk_edges_embeddings": f"""WITH {_V} SELECT a.vec_id AS src, b.vec_id AS dst, round({_COS}, 6) AS score FROM v a, v b WHERE a.vec_id <> b.vec_id
+  QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) <= 10""",
     "threshold_edges_documents": f"WITH {_BIGRAMS}, {_FIRST}, {_document_edges('firsts', 'firsts')} SELECT src, dst, round(score, 6) AS score FROM edges",
-    "self_dedup_embeddings": f"{_SELF} SELECT v.vec_id, CASE WHEN lost.id IS NULL THEN 'selected' ELSE 'semantic' END AS status FROM v LEFT JOIN lost ON lost.id = v.vec_id",
-    "self_dedup_documents": f"{_SELF_DOCS} SELECT d.doc_id, {_DOC_STATUS} AS status FROM documents d LEFT JOIN firsts f ON f.id = d.doc_id LEFT JOIN lost ON lost.id = d.doc_id",
+    "self_dedup_embeddings": f"""{_SELF} SELECT v.vec_id, CASE WHEN lost.id IS NULL THEN 'selected' ELSE 'semantic' END AS status FROM v
+  LEFT JOIN lost ON lost.id = v.vec_id""",
+    "self_dedup_documents": f"""{_SELF_DOCS} SELECT d.doc_id, {_DOC_STATUS} AS status FROM documents d LEFT JOIN firsts f ON f.id = d.doc_id
+  LEFT JOIN lost ON lost.id = d.doc_id""",
     "self_dedup_pairs_embeddings": f"{_PAIRS} SELECT vec_id, dup_id, round(score, 6) AS score, false AS exact FROM pairs",
     "cross_dedup_documents": f"""WITH {_BIGRAMS}, q AS (SELECT doc_id AS id, text FROM documents WHERE doc_id % 5 = 0),
 items AS MATERIALIZED (SELECT min(doc_id) AS id, text FROM documents WHERE doc_id % 5 <> 0 GROUP BY text), {_document_edges('q', 'items')}
@@ -353,23 +372,34 @@ SELECT src AS vec_id, round(avg(score), 6) AS score, {_RANK} AS rank FROM top GR
 SELECT src AS vec_id, round(avg(score), 6) AS score, {_RANK} AS rank FROM top GROUP BY src""",
     "outliers_self_embeddings": f"""WITH {_V}, top AS (SELECT a.vec_id AS src, {_COS} AS score FROM v a, v b WHERE a.vec_id <> b.vec_id QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) <= 100),
 r AS (SELECT src, {_RANK} AS rank, count(*) OVER () AS n FROM top GROUP BY src) SELECT src AS vec_id FROM r WHERE rank > n - ceil(n * 0.1::DOUBLE)""",
-    "outliers_self_documents": "WITH n AS (SELECT count(DISTINCT text) AS n FROM documents) SELECT 'selected' AS status, (n - ceil(n * 0.1::DOUBLE))::BIGINT AS n FROM n UNION ALL SELECT 'filtered', ceil(n * 0.1::DOUBLE)::BIGINT FROM n",
-    "dedup_ratios": f"{_SELF_DOCS} SELECT round(1.0::DOUBLE - count(*) FILTER ({_DOC_STATUS} = 'selected')::DOUBLE / count(*), 9) AS duplicate_ratio, round(count(*) FILTER ({_DOC_STATUS} = 'exact')::DOUBLE / count(*), 9) AS exact_duplicate_ratio FROM documents d LEFT JOIN firsts f ON f.id = d.doc_id LEFT JOIN lost ON lost.id = d.doc_id",
+    "outliers_self_documents": """WITH n AS (SELECT count(DISTINCT text) AS n FROM documents) SELECT 'selected' AS status, (n - ceil(n * 0.1::DOUBLE))::BIGINT AS n
+  FROM n UNION ALL SELECT 'filtered', ceil(n * 0.1::DOUBLE)::BIGINT FROM n""",
+    "dedup_ratios": f"""{_SELF_DOCS}
+  SELECT round(1.0::DOUBLE - count(*) FILTER ({_DOC_STATUS} = 'selected')::DOUBLE / count(*), 9) AS duplicate_ratio, round(count(*) FILTER ({_DOC_STATUS} = 'exact')::DOUBLE / count(*), 9) AS exact_duplicate_ratio
+  FROM documents d LEFT JOIN firsts f ON f.id = d.doc_id LEFT JOIN lost ON lost.id = d.doc_id""",
     "least_similar_embeddings": f"{_PAIRS} SELECT vec_id, dup_id, round(score, 6) AS score FROM pairs ORDER BY pairs.score, vec_id, dup_id LIMIT 10",
-    "rethreshold_embeddings": f"{_PAIRS} SELECT v.vec_id, CASE WHEN v.vec_id IN (SELECT vec_id FROM pairs WHERE score >= 0.4) THEN 'semantic' ELSE 'selected' END AS status FROM v",
-    "selected_with_duplicates_embeddings": f"{_PAIRS}, named AS (SELECT dup_id, count(*)::BIGINT AS n, string_agg(vec_id::VARCHAR, ',' ORDER BY vec_id) AS l FROM pairs GROUP BY dup_id) SELECT v.vec_id, coalesce(n, 0)::BIGINT AS n, coalesce(l, '') AS duplicates FROM v LEFT JOIN named ON named.dup_id = v.vec_id WHERE v.vec_id NOT IN (SELECT id FROM lost)",
-    "dict_to_string_conversations": "SELECT conv_id, turn, replace(coalesce(role, ''), chr(9), ' ') || chr(9) || replace(coalesce(text, ''), chr(9), ' ') AS line FROM conversations",
+    "rethreshold_embeddings": f"""{_PAIRS} SELECT v.vec_id, CASE WHEN v.vec_id IN (SELECT vec_id FROM pairs
+  WHERE score >= 0.4) THEN 'semantic' ELSE 'selected' END AS status FROM v""",
+    "selected_with_duplicates_embeddings": f"""{_PAIRS}, named AS (SELECT dup_id, count(*)::BIGINT AS n, string_agg(vec_id::VARCHAR, ',' ORDER BY vec_id) AS l FROM pairs
+  GROUP BY dup_id) SELECT v.vec_id, coalesce(n, 0)::BIGINT AS n, coalesce(l, '') AS duplicates FROM v
+  LEFT JOIN named ON named.dup_id = v.vec_id WHERE v.vec_id NOT IN (SELECT id FROM lost)""",
+    "dict_to_string_conversations": """SELECT conv_id, turn, replace(coalesce(role, ''), chr(9), ' ') || chr(9) || replace(coalesce(text, ''), chr(9), ' ') AS line
+  FROM conversations""",
     "outliers_cross_embeddings": f"WITH {_TOP_CROSS} SELECT src AS vec_id FROM r WHERE rank > n - ceil(n * 0.1::DOUBLE)",
-    "outliers_ratios_embeddings": "WITH n AS (SELECT count(*) AS n FROM embeddings) SELECT round(ceil(n * 0.1::DOUBLE) / n, 9) AS filter_ratio, round(1 - ceil(n * 0.1::DOUBLE) / n, 9) AS selected_ratio FROM n",
-    "cross_dedup_embeddings": f"WITH {_V} SELECT a.vec_id, CASE WHEN max({_COS}) >= 0.35 THEN 'semantic' ELSE 'selected' END AS status FROM v a, v b WHERE a.vec_id % 5 = 0 AND b.vec_id % 5 <> 0 GROUP BY a.vec_id",
+    "outliers_ratios_embeddings": """WITH n AS (SELECT count(*) AS n FROM embeddings)
+  SELECT round(ceil(n * 0.1::DOUBLE) / n, 9) AS filter_ratio, round(1 - ceil(n * 0.1::DOUBLE) / n, 9) AS selected_ratio FROM n""",
+    "cross_dedup_embeddings": f"""WITH {_V} SELECT a.vec_id, CASE WHEN max({_COS}) >= 0.35 THEN 'semantic' ELSE 'selected' END AS status FROM v a, v b
+  WHERE a.vec_id % 5 = 0 AND b.vec_id % 5 <> 0 GROUP BY a.vec_id""",
     "representative_cross_mmr_embeddings": _diverse(_TOP_CROSS, "mmr"),
     "lsh_edges_embeddings": f"WITH {_EDGES} SELECT src, dst, round(score, 6) AS score FROM edges WHERE src <> dst",
     "self_dedup_pairs_documents": f"""{_SELF_DOCS}, named AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first, text FROM documents)
 SELECT a.doc_id, b.doc_id AS dup_id, 1.0::DOUBLE AS score, true AS exact FROM named a JOIN named b ON a.text = b.text AND a.doc_id <> b.doc_id WHERE a.doc_id <> a.first
 UNION ALL SELECT e.src, b.doc_id, round(e.score, 6), false FROM edges e JOIN lost ON lost.id = e.src JOIN named b ON b.first = e.dst WHERE b.doc_id <> e.src""",
     "strings_selected": f"WITH {_NAMES} SELECT min(pos)::BIGINT AS pos, t AS text FROM listed GROUP BY t",
-    "strings_filtered": f"WITH {_NAMES} SELECT pos::BIGINT AS pos, t AS text, true AS exact, 1::BIGINT AS n, t AS duplicate, 1.0::DOUBLE AS score FROM listed QUALIFY row_number() OVER (PARTITION BY t ORDER BY pos) > 1",
-    "prepared_records_nation": "SELECT (row_number() OVER (ORDER BY n_nationkey) - 1)::BIGINT AS pos, n_name AS name, CASE WHEN n_nationkey % 3 = 0 THEN '' ELSE n_regionkey::VARCHAR END AS region FROM nation",
+    "strings_filtered": f"""WITH {_NAMES} SELECT pos::BIGINT AS pos, t AS text, true AS exact, 1::BIGINT AS n, t AS duplicate, 1.0::DOUBLE AS score
+  FROM listed QUALIFY row_number() OVER (PARTITION BY t ORDER BY pos) > 1""",
+    "prepared_records_nation": """SELECT (row_number() OVER (ORDER BY n_nationkey) - 1)::BIGINT AS pos, n_name AS name, CASE WHEN n_nationkey % 3 = 0 THEN '' ELSE n_regionkey::VARCHAR END AS region
+  FROM nation""",
     "written_orders": "SELECT o_orderkey::BIGINT AS o_orderkey, o_custkey::BIGINT AS o_custkey, o_custkey::BIGINT AS again FROM orders",
 }
 ORACLES |= {f"representative_{s}_embeddings": _diverse(_TOP_SELF, s) for s in ("mmr", "msd", "dpp", "cover", "ssd")}

@@ -97,11 +97,26 @@ class DeduplicationResult:
         kept = self.decisions.where("status = 'selected'")
         names = self.fields
         dropped = self._shown(self.decisions.where("status <> 'selected'"))
-        dropped = dropped.select(F.col(POS).alias("drop_pos"), F.col("group_pos").alias("drop_group"), (F.col("status") == "semantic").alias("late"), full_record(names).alias("json"), F.struct(*names).alias("record"))
+        dropped = dropped.select(
+            F.col(POS).alias("drop_pos"),
+            F.col("group_pos").alias("drop_group"),
+            (F.col("status") == "semantic").alias("late"),
+            full_record(names).alias("json"),
+            F.struct(*names).alias("record"),
+        )
         named = self.pairs.join(dropped, self.pairs[POS] == dropped["drop_pos"]).drop(POS)
         keyed = named.join(self.targets.select(F.col(POS).alias("dup_pos"), *self.columns), "dup_pos")
-        found = kept.select(POS, *self.columns).alias("k").join(keyed.alias("n"), same_key("k", "n", self.columns)).select(F.col(f"k.{POS}").alias(POS), "json", "record", "score", F.struct("drop_group", "late", "drop_pos", "dup_pos").alias("place"))
-        once = found.groupBy(POS, "json").agg(F.min(F.struct("place", "record")).alias("first"), F.max(F.struct("place", "score")).alias("last")) if not _has_map(found) else found.groupBy(POS, "json").agg(F.min_by(F.struct("place", "record"), "place").alias("first"), F.max_by(F.struct("place", "score"), "place").alias("last"))
+        found = kept.select(POS, *self.columns).alias("k").join(keyed.alias("n"), same_key("k", "n", self.columns)).select(
+            F.col(f"k.{POS}").alias(POS),
+            "json",
+            "record",
+            "score",
+            F.struct("drop_group", "late", "drop_pos", "dup_pos").alias("place"),
+        )
+        once = found.groupBy(POS, "json").agg(F.min(F.struct("place", "record")).alias("first"), F.max(F.struct("place", "score")).alias("last")) if not _has_map(found) else found.groupBy(POS, "json").agg(
+            F.min_by(F.struct("place", "record"), "place").alias("first"),
+            F.max_by(F.struct("place", "score"), "place").alias("last"),
+        )
         order = Window.partitionBy(POS).orderBy("first.place")
         once = once.withColumn("n", F.row_number().over(order))
         lists = once.groupBy(POS).agg(F.array_sort(F.collect_list(F.struct("n", F.col("first.record").alias("record"), F.col("last.score").alias("score")))).alias("d"))
