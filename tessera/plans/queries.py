@@ -11,7 +11,7 @@ from tessera.functions.encoders import HashedBigramEncoder, featurize
 from tessera.functions.records import dict_to_string
 from tessera.operators.exact import with_groups
 from tessera.plans.index import SemanticIndex
-from tessera.sources.tables import POS, prepare, read, shared_folder, write
+from tessera.sources.tables import POS, check_like, prepare, read, shared_folder, write
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -226,6 +226,40 @@ def selected_with_duplicates_embeddings(spark, sf_dir):
     )
 
 
+def selected_with_duplicates_documents(spark, sf_dir):
+    """Kept documents with the dropped ones that name their text; ids and languages are payload."""
+    index = SemanticIndex.fit(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), ["text"], order_by="doc_id")
+    found = index.self_deduplicate(0.9).selected_with_duplicates
+    ids = F.array_join(F.array_sort(F.transform("duplicates", lambda d: d["record"]["doc_id"])), ",")
+    langs = F.array_join(F.array_sort(F.array_distinct(F.transform("duplicates", lambda d: d["record"]["lang"]))), ",")
+    return found.select("doc_id", F.size("duplicates").cast("long").alias("n"), ids.alias("duplicates"), langs.alias("langs"))
+
+
+def type_rules(spark, sf_dir):
+    """Which later inputs an index of strings and one of dictionaries refuse."""
+    name = _table(spark, sf_dir, "region").orderBy("r_regionkey").first()["r_name"]
+    strings = SemanticIndex.fit([name, f"{name} again"], spark=spark)
+    records = SemanticIndex.fit([{"name": name}], ["name"], spark=spark)
+    cases = {
+        "strings of strings": (strings, [name]),
+        "dictionaries of strings": (strings, [{"text": name}]),
+        "strings of dictionaries": (records, [name]),
+        "dictionaries of dictionaries": (records, [{"name": name}]),
+        "a mixture": (records, [{"name": name}, name]),
+        "nothing": (records, []),
+        "numbers": (records, [1]),
+        "a frame without the column": (records, spark.range(1)),
+    }
+    refused = {}
+    for case, (index, later) in cases.items():
+        try:
+            check_like(later, index.was_string, index.columns)
+            refused[case] = False
+        except ValueError:
+            refused[case] = True
+    return spark.createDataFrame(list(refused.items()), "case string, refused boolean")
+
+
 def dict_to_string_conversations(spark, sf_dir):
     return _table(spark, sf_dir, "conversations").select("conv_id", "turn", dict_to_string(["role", "text"]).alias("line"))
 
@@ -263,6 +297,8 @@ QUERIES = {
         strings_filtered,
         prepared_records_nation,
         written_orders,
+        selected_with_duplicates_documents,
+        type_rules,
     )
 }
 QUERIES |= {f"representative_{s}_embeddings": _representatives(s) for s in ("mmr", "msd", "dpp", "cover", "ssd")}
@@ -395,6 +431,15 @@ r AS (SELECT src, {_RANK} AS rank, count(*) OVER () AS n FROM top GROUP BY src)
     "self_dedup_pairs_documents": f"""{_SELF_DOCS}, named AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first, text FROM documents)
 SELECT a.doc_id, b.doc_id AS dup_id, 1.0::DOUBLE AS score, true AS exact FROM named a JOIN named b ON a.text = b.text AND a.doc_id <> b.doc_id WHERE a.doc_id <> a.first
 UNION ALL SELECT e.src, b.doc_id, round(e.score, 6), false FROM edges e JOIN lost ON lost.id = e.src JOIN named b ON b.first = e.dst WHERE b.doc_id <> e.src""",
+    "selected_with_duplicates_documents": f"""{_SELF_DOCS}, named AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first, text, lang FROM documents),
+pairs AS (SELECT a.doc_id, b.first FROM named a JOIN named b ON a.text = b.text AND a.doc_id <> b.doc_id WHERE a.doc_id <> a.first
+  UNION SELECT e.src, e.dst FROM edges e JOIN lost ON lost.id = e.src JOIN named b ON b.first = e.dst WHERE b.doc_id <> e.src),
+listed AS (SELECT p.first, p.doc_id, d.lang FROM (SELECT DISTINCT * FROM pairs) p JOIN documents d USING (doc_id)),
+found AS (SELECT first, count(*)::BIGINT AS n, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS ids, string_agg(DISTINCT lang, ',' ORDER BY lang) AS langs FROM listed GROUP BY first)
+SELECT k.doc_id, coalesce(n, 0)::BIGINT AS n, coalesce(ids, '') AS duplicates, coalesce(langs, '') AS langs
+FROM named k LEFT JOIN found f ON f.first = k.doc_id WHERE k.doc_id = k.first AND k.doc_id NOT IN (SELECT id FROM lost)""",
+    "type_rules": """SELECT * FROM (VALUES ('strings of strings', false), ('dictionaries of strings', false), ('strings of dictionaries', true), ('dictionaries of dictionaries', false),
+  ('a mixture', true), ('nothing', true), ('numbers', true), ('a frame without the column', true)) t("case", refused)""",
     "strings_selected": f"WITH {_NAMES} SELECT min(pos)::BIGINT AS pos, t AS text FROM listed GROUP BY t",
     "strings_filtered": f"""WITH {_NAMES} SELECT pos::BIGINT AS pos, t AS text, true AS exact, 1::BIGINT AS n, t AS duplicate, 1.0::DOUBLE AS score
   FROM listed QUALIFY row_number() OVER (PARTITION BY t ORDER BY pos) > 1""",
