@@ -3,11 +3,11 @@
 1. Every document's words are hashed to terms.  Those that can be terms of test items (by a
    filter of bits of bounded size) are written in text order.
 2. A test window is its terms with their offsets, ordered from the rarest in the corpus.  The
-   postings (term, row, position) of all windows' two rarest terms are written as lists: sorted
-   by term, row and position over range partitions, so that a frequent term's list is
-   spread over many of them.
-3. A window's two lists, moved back by their offsets, are intersected: what is left starts
-   in the same place of the same document.
+   postings (term, row, position) of all windows' rarest terms, and of their second rarest where
+   that list is at most ``LONGER`` times as long, are written as lists: sorted by term, row and
+   position over range partitions, so that a frequent term's list is spread over many of them.
+3. A window's lists, moved back by their offsets, are intersected: what is left starts in the
+   same place of the same document.
 4. There the other terms are looked up at their offsets, from the next rarest on.  What
    remains is an exact phrase; with ``slop`` > 0 each term may lie so many positions
    off, which gives proximity matches.
@@ -32,6 +32,7 @@ from tessera.operators.components import HOT, join_hot
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Windows, or texts' keys, of which a table is broadcast.
 MAX_BROADCAST = 100_000
+LONGER = 2
 #: Bits of a filter of terms at most (half a megabyte), and for each term.
 MAX_BITS, BITS = 1 << 22, 16
 
@@ -87,30 +88,34 @@ def find_windows(index: DataFrame, windows: DataFrame, window: int, slop: int =
     """(row, wid, start, size): where windows (wid, terms) occur in the indexed documents."""
     known = windows.limit(MAX_BROADCAST + 1).count()
     small = F.broadcast if known <= MAX_BROADCAST else (lambda df: df)
-    used = windows.select(F.explode("terms").alias("term")).distinct()
+    entries = windows.select("wid", F.size("terms").alias("size"), F.posexplode("terms").alias("offset", "term"))
+    used = entries.groupBy("term").agg(F.count("*").alias("windows"))
     counts = index.select(F.explode("terms.term").alias("term")).join(small(used), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
+    counts = materialize(counts.join(used, "term"), "counts")
     entry = F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("offset"), F.col("term"))
-    ranked = windows.select("wid", F.size("terms").alias("size"), F.posexplode("terms").alias("offset", "term")).join(counts, "term", "left")
-    ranked = ranked.groupBy("wid", "size").agg(F.sort_array(F.collect_list(entry)).alias("by_count"))
+    frequent = counts.where(F.col("windows") > max(1.0, window * known * HOT)).select("term")  # terms of many windows
+    ranked = join_hot(entries, counts.select("term", "n"), "term", frequent, "left").groupBy("wid", "size").agg(F.sort_array(F.collect_list(entry)).alias("by_count"))
     ranked = materialize(ranked.where(F.col("by_count")[0]["n"] > 0), "windows")  # a term that the corpus lacks: the window cannot occur
 
-    lists = ranked.select("wid", "size", F.posexplode(F.slice("by_count", 1, 2)).alias("rank", "t")).select("wid", "size", "rank", "t.term", "t.offset", "t.n")
+    two = (F.col("size") > 1) & (F.get("by_count", F.lit(1))["n"] <= F.col("by_count")[0]["n"] * LONGER)
+    lists = ranked.select("wid", "size", two.alias("two"), F.posexplode(F.slice("by_count", 1, F.when(two, 2).otherwise(1))).alias("rank", "t"))
+    lists = lists.select("wid", "size", "two", "rank", "t.term", "t.offset", "t.n")
     lists = materialize(lists, "wanted")
     postings = posting_lists(index, lists.select("term").distinct())
     least = max(1.0, postings.count() * HOT)
 
     def starts(rank: int) -> DataFrame:
         """(wid, row, start, place) by the lists of the windows' rarest or second rarest term."""
-        wanted = lists.where(F.col("rank") == rank).select("term", "wid", "size", "offset", "n")
+        wanted = lists.where(F.col("rank") == rank).select("term", "wid", "size", "two", "offset", "n")
         if known <= MAX_BROADCAST:
             found = postings.join(F.broadcast(wanted), "term")
         else:
             found = join_hot(postings, wanted, "term", wanted.where(F.col("n") > least).select("term").distinct())
-        return found.select("wid", "size", "row", (F.col("at") - F.col("offset")).alias("start"), "place")
+        return found.select("wid", "size", "two", "row", (F.col("at") - F.col("offset")).alias("start"), "place")
 
     first = starts(0).where(F.col("start") >= -slop)
     second = starts(1).select("wid", "row", F.explode(F.sequence(F.col("start") - slop, F.col("start") + slop)).alias("start")).distinct()
-    both = first.where("size > 1").join(second, ["wid", "row", "start"], "left_semi").unionByName(first.where("size = 1"))
+    both = first.where("two").join(second, ["wid", "row", "start"], "left_semi").unionByName(first.where("NOT two"))
     both = both.join(small(ranked.select("wid", "by_count")), "wid")
     both = materialize(both.groupBy("row").agg(F.collect_list(F.struct("wid", "start", "size", "place", "by_count")).alias("found")), "starts")
 
@@ -120,7 +125,7 @@ def find_windows(index: DataFrame, windows: DataFrame, window: int, slop: int =
     whole = F.filter("found", lambda c: F.forall(c["by_count"], lambda t: F.exists(near(c), lambda p: there(c, t, p))))
     hits = both.join(index.select("row", "terms"), "row").select("row", F.explode(whole).alias("c"))
     hits = materialize(hits.select("row", "c.wid", "c.start", "c.size").distinct(), "hits")
-    discard(ranked, lists, postings, both)
+    discard(ranked, lists, postings, both, counts)
     return hits
 
 

@@ -67,7 +67,7 @@ def test_simple8b(docs, none):
         ids = ids_of(text, 0)
         expected.append((i, start, len(ids), crc(ids)))
         start += len(ids)
-    assert sorted((r["start"], r["n_tokens"], r["ids_crc32"]) for r in got) == [e[1:] for e in expected]
+    assert sorted((r["start"], r["n_tokens"], r["ids_crc32"], r["doc_id"]) for r in got) == [(*e[1:], e[0]) for e in expected]
     assert simple8b.simple8b_corpus(none).count() == 0
 
 
@@ -193,13 +193,23 @@ def test_url_filter_of_a_long_list(spark, monkeypatch, limit):
     """Many rules, of which one fits nearly all pages."""
     monkeypatch.setattr(urlfilter, "MAX_FILTER_WORDS", limit)
     rules = spark.range(200_000).select(F.concat(F.lit("h"), "id", F.lit(".net/")).alias("rule"), F.lit("block").alias("verdict")).unionByName(urlfilter.rules_frame(spark))
-    pages = spark.range(3000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://x.org/"), "id").alias("url")).union(spark.range(20).selectExpr("10000 + id", "concat('https://a.h', id * 9999, '.net/q')"))
+    pages = spark.range(3000).select(
+        F.col("id").alias("page_id"),
+        F.concat(F.lit("http://x.org/"), "id").alias("url"),
+    ).union(spark.range(20).selectExpr("10000 + id", "concat('https://a.h', id * 9999, '.net/q')"))
     got = urlfilter.filter_urls(pages, rules)
-    assert {(r["rule"] == "org/", r["verdict"]): r["count"] for r in got.groupBy((F.col("rule") == "org/").alias("org"), "verdict").count().select(F.when(F.col("org"), F.lit("org/")).alias("rule"), "verdict", "count").collect()} == {(True, "allow"): 3000, (False, "block"): 20}
+    assert {(r["rule"] == "org/", r["verdict"]): r["count"] for r in got.groupBy((F.col("rule") == "org/").alias("org"), "verdict").count().select(
+        F.when(F.col("org"), F.lit("org/")).alias("rule"),
+        "verdict",
+        "count",
+    ).collect()} == {(True, "allow"): 3000, (False, "block"): 20}
 
 
 def test_html(spark):
-    pages = spark.createDataFrame([(1, "u", "<article><p>Hi</p></article>", 1), (2, None, None, 1), (2, None, "", 1), (3, "v", "<p>" + LONG * 10, 1)], "page_id long, url string, html string, n_chars int")
+    pages = spark.createDataFrame(
+        [(1, "u", "<article><p>Hi</p></article>", 1), (2, None, None, 1), (2, None, "", 1), (3, "v", "<p>" + LONG * 10, 1)],
+        "page_id long, url string, html string, n_chars int",
+    )
     got = sorted(((r["page_id"], r["text"], r["n_chars"]) for r in htmltext.extract_text(pages).collect()), key=str)
     long = (LONG * 10).strip()
     assert got == [(1, "Hi", 2), (2, "", 0), (2, "", 0), (3, long, len(long))]
@@ -219,7 +229,10 @@ def test_quality(spark, docs):
 
 
 def test_decontamination(spark, docs, none):
-    items = spark.createDataFrame([(1, "Quick brown fox, jumps over the lazy dog and RUNS away!", "x"), (2, "x", "x"), (3, None, "x"), (4, "..", "x"), (5, "quick fox jumps", "x")], "item_id long, text string, row string")
+    items = spark.createDataFrame(
+        [(1, "Quick brown fox, jumps over the lazy dog and RUNS away!", "x"), (2, "x", "x"), (3, None, "x"), (4, "..", "x"), (5, "quick fox jumps", "x")],
+        "item_id long, text string, row string",
+    )
     got = {r["doc_id"]: r for r in decontam.decontaminate(docs, items).collect()}
     assert (got[0]["n_words"], got[0]["n_hit"], got[0]["n_items"], got[0]["contaminated"]) == (13, 11, 1, True)
     assert got[0]["items_sha256"] == hashlib.sha256(b"1").hexdigest() and got[7]["n_hit"] == 1
@@ -231,6 +244,53 @@ def test_decontamination(spark, docs, none):
     assert clean.columns == docs.columns and sorted(r["doc_id"] or -1 for r in clean.collect()) == [-1, 2, 3, 4, 4, 9]
 
 
+@pytest.mark.parametrize(("slop", "most"), [(0, decontam.MAX_BROADCAST), (1, 100)])
+def test_many_windows_equal_brute_force(spark, monkeypatch, slop, most):
+    """60,000 windows, frequent and rare words, exact and near places; tables broadcast or shuffled."""
+    from collections import Counter, defaultdict
+
+    monkeypatch.setattr(decontam, "MAX_BROADCAST", most)
+    rng = np.random.default_rng(8)
+    word = lambda n: [f"w{int(x)}" for x in rng.zipf(1.3, n) % 5000]
+    items = [word(110) for _ in range(600)]
+    docs = []
+    for i in range(60):
+        text = word(200)
+        for _ in range(3):
+            passage = items[int(rng.integers(600))][20:40]
+            if rng.random() < 0.5:
+                passage[5:5] = ["put", "in"][: int(rng.integers(1, 3))]
+            at = int(rng.integers(200))
+            text[at:at] = passage
+        docs.append((i, " ".join(text)))
+    windows = defaultdict(set)
+    for i, words in enumerate(items):
+        for k in range(len(words) - 9):
+            windows[tuple(words[k : k + 10])].add(str(i))
+    assert len(windows) > 59_000
+    count = Counter(w for _, t in docs for w in t.split())
+    expected = {}
+    for i, text in docs:
+        words, hit, named = text.split(), set(), set()
+        places = defaultdict(list)
+        for k, w in enumerate(words):
+            places[w].append(k)
+        for window, of in windows.items():
+            if not all(w in places for w in window):
+                continue
+            _, offset, anchor = min((count[w], k, w) for k, w in enumerate(window))
+            for p in places[anchor]:
+                start = p - offset
+                if start >= -slop and all(any(abs(q - start - k) <= slop for q in places[w]) for k, w in enumerate(window)):
+                    hit.update(range(max(0, start), min(len(words), start + 10)))
+                    named |= of
+        expected[i] = (len(words), len(hit), len(named), hashlib.sha256(",".join(sorted(named)).encode()).hexdigest())
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    tests = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"]) for r in decontam.decontaminate(table, tests, slop=slop).collect()}
+    assert got == expected and sum(e[1] for e in expected.values()) > 500
+
+
 def test_perspectives(spark):
     rows = [(1, 0, "ann", "Hi"), (1, 1, "bob", None), (1, 2, None, "Yo"), (None, 0, "ann", "x"), (1, 70, "ann", "late <|end|>"), (2, 5, "b|>", "same"), (2, 5, "b|>", "same")]
     table = spark.createDataFrame([(*r, "n") for r in rows], "conv_id long, turn long, role string, text string, begin string")
@@ -245,7 +305,10 @@ def test_perspectives(spark):
 
 def test_perspectives_bound_their_rows(spark):
     """Turns without a number, and of one number, and one very long text."""
-    table = spark.createDataFrame([(1, None, "a" if i % 2 else "b", f"t{i}") for i in range(300)] + [(2, 4, "a", f"{i:03}") for i in range(130)] + [(3, 0, "a", LONG * 20)], "conv_id long, turn long, role string, text string")
+    table = spark.createDataFrame(
+        [(1, None, "a" if i % 2 else "b", f"t{i}") for i in range(300)] + [(2, 4, "a", f"{i:03}") for i in range(130)] + [(3, 0, "a", LONG * 20)],
+        "conv_id long, turn long, role string, text string",
+    )
     got = perspectives.rotate(table).collect()
     assert max(r["n_messages"] for r in got) == 64
     assert {c: sum(r["n_messages"] for r in got if r["conv_id"] == c and r["participant"] == "a") for c in (1, 2, 3)} == {1: 300, 2: 130, 3: 1}
@@ -306,7 +369,10 @@ def odd(spark, tmp_path_factory):
     table = spark.createDataFrame([(i, t, "n", "k", 1.0) for i, t in rows], "doc_id long, text string, node string, _row string, _score double")
     table.write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(90)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
-    spark.createDataFrame([(1, "number 7 about things, and it goes on and on for 7 days"), (2, None), (None, "")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame(
+        [(1, "number 7 about things, and it goes on and on for 7 days"), (2, None), (None, "")],
+        "item_id long, text string",
+    ).write.parquet(f"{folder}/benchmark.parquet")
     return str(folder)
 
 
