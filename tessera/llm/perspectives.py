@@ -39,7 +39,13 @@ def escaped(text: Column) -> Column:
 def rotate(conversations: DataFrame, segment: int = 64) -> DataFrame:
     """(conv_id, participant, segment, rendered, spans, n_messages, n_trained)."""
     rows = columns(conversations, conv_id="long", turn="long", role="string", text="string")
-    rows = rows.select("conv_id", F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("conv"), "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.select(
+        "conv_id",
+        F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("conv"),
+        "turn",
+        F.coalesce("role", F.lit("unknown")).alias("role"),
+        F.coalesce("text", F.lit("")).alias("text"),
+    )
     rows = materialize(numbered(rows, [F.col("conv").asc(), F.col("turn").asc_nulls_first(), F.col("role").asc(), F.col("text").asc()], "at", 0), "messages")
     begins = materialize(rows.groupBy("conv").agg(F.min("at").alias("begin"), F.count("*").alias("n"), F.collect_set("role").alias("people")), "begins")
     hot = begins.where(F.col("n") > max(1.0, rows.count() * HOT))
@@ -53,14 +59,30 @@ def rotate(conversations: DataFrame, segment: int = 64) -> DataFrame:
 
     def piece(m):
         body = F.concat(escaped(m["text"]), F.lit(END))
-        return F.struct(F.concat(head(m), body, F.lit("\n")).alias("piece"), F.length(head(m)).alias("head"), F.length(body).alias("body"), (m["role"] == F.col("participant")).cast("int").alias("mask"))
+        return F.struct(
+            F.concat(head(m), body, F.lit("\n")).alias("piece"),
+            F.length(head(m)).alias("head"),
+            F.length(body).alias("body"),
+            (m["role"] == F.col("participant")).cast("int").alias("mask"),
+        )
 
     whole = whole.withColumn("pieces", F.transform("messages", piece))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,mask:int>>").alias("spans"))
     spans = F.aggregate(  # over ``segment`` messages at most
         "pieces", start,
-        lambda s, p: F.struct((s["at"] + p["head"] + p["body"] + 1).alias("at"), F.concat(s["spans"], F.array(F.struct((s["at"] + p["head"]).alias("start"), (s["at"] + p["head"] + p["body"]).alias("end"), p["mask"].alias("mask")))).alias("spans")),
+        lambda s, p: F.struct(
+            (s["at"] + p["head"] + p["body"] + 1).alias("at"),
+            F.concat(s["spans"], F.array(F.struct((s["at"] + p["head"]).alias("start"), (s["at"] + p["head"] + p["body"]).alias("end"), p["mask"].alias("mask")))).alias("spans"),
+        ),
         lambda s: s["spans"],
     )
     trained = F.aggregate("pieces", F.lit(0), lambda n, p: n + p["mask"])
-    return whole.select("conv_id", "participant", "segment", F.array_join(F.transform("pieces", lambda p: p["piece"]), "").alias("rendered"), spans.alias("spans"), F.size("pieces").cast("long").alias("n_messages"), trained.cast("long").alias("n_trained"))
+    return whole.select(
+        "conv_id",
+        "participant",
+        "segment",
+        F.array_join(F.transform("pieces", lambda p: p["piece"]), "").alias("rendered"),
+        spans.alias("spans"),
+        F.size("pieces").cast("long").alias("n_messages"),
+        trained.cast("long").alias("n_trained"),
+    )

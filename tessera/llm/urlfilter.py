@@ -52,7 +52,11 @@ def split_url(url: Column) -> tuple[Column, Column]:
 def block_and_bits(key: Column, blocks: int) -> tuple[Column, list[Column]]:
     """A key's block, and its bit in each of the block's words."""
     h = F.xxhash64(key, F.lit(1))
-    return F.pmod(F.xxhash64(key), F.lit(blocks)), [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 5 * w).bitwiseAND(F.lit(31)).cast("int")) for w in range(WORDS)]
+    return F.pmod(F.xxhash64(key), F.lit(blocks)), [F.call_function(
+        "shiftleft",
+        F.lit(1).cast("long"),
+        F.shiftrightunsigned(h, 5 * w).bitwiseAND(F.lit(31)).cast("int"),
+    ) for w in range(WORDS)]
 
 
 def build_filter(rules: DataFrame, blocks: int) -> DataFrame:
