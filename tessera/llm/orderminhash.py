@@ -2,8 +2,8 @@
 
 A text is read as tokens and its k-mers of ``k`` tokens.  A token is a word of up to
 ``token`` characters; longer runs without white space are cut after a vowel, a
-low digit or a mark, so that a character put in moves no cut but the next ones;
-an ideograph is a token of its own.  Equal k-mers are told apart by their
+low digit or a mark until ``token`` characters are left, so that a character put in
+moves no cut but the next ones; an ideograph is a token of its own.  Equal k-mers are told apart by their
 occurrence number.  Coordinate j of the fingerprint takes, under its own order
 of the numbered k-mers, the ``ELEMENTS`` = 2 least ones, puts them back into
 text order and hashes that tuple: moving a passage changes the fingerprint,
@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from tessera.llm.util import columns
 
-ELEMENTS = 2
+ELEMENTS = 2  # of a tuple; the code puts two in order
 #: A packed entry: 33 bits of hash above 30 bits of position.
 POSITION = (1 << 30) - 1
 IDEOGRAPHS = r"\x{2E80}-\x{9FFF}\x{AC00}-\x{D7A3}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}"
@@ -44,7 +44,7 @@ LONG_MIN = -(1 << 63)
 def token_pattern(token: int) -> str:
     letter = rf"[^\s{IDEOGRAPHS}]"
     cut = r"[aeiouyAEIOUY0-4\p{P}]"
-    return rf"(?<!\S){letter}{{1,{token}}}(?!\S)|[{IDEOGRAPHS}]|{letter}{{3,{token + 3}}}?(?<={cut})|{letter}{{1,{token + 4}}}"
+    return rf"[!-~]{{1,{token}}}+(?!\S)|{letter}{{1,{token}}}+(?!\S)|[{IDEOGRAPHS}]|{letter}{{3,{token + 3}}}?(?<={cut})|{letter}{{1,{token + 4}}}"
 
 
 def fingerprint_columns(df: DataFrame, text: str, out: str, k: int = 3, m: int = 64, token: int = 12) -> DataFrame:
@@ -81,19 +81,23 @@ def fingerprint_columns(df: DataFrame, text: str, out: str, k: int = 3, m: int =
     def numbered(x: Column, i: Column) -> Column:
         mine = x.bitwiseAND(high)
         again = (i > 0) & (F.coalesce(F.get(F.col(s), i - 1), F.lit(-1)).bitwiseAND(high) == mine)
-        occurrence = F.when(again, i - first_at_least(F.col(s), mine)).otherwise(F.lit(0))
-        return F.xxhash64(mine, occurrence).bitwiseAND(high).bitwiseOR(x.bitwiseAND(F.lit(POSITION)))
+        occurrence = i - first_at_least(F.col(s), mine)
+        return F.when(again, F.xxhash64(mine, occurrence).bitwiseAND(high).bitwiseOR(x.bitwiseAND(F.lit(POSITION)))).otherwise(x)
 
+    # Only repeated k-mers move, so the second sort finds the array nearly in order.
     df = df.withColumn(v, F.sort_array(F.transform(F.col(s), numbered)))
     size = F.size(v)
 
-    def coordinate(j: Column) -> Column:
-        at = first_at_least(F.col(v), j * F.lit(RANGE // m))
-        picked = F.transform(F.array([F.lit(e) for e in range(ELEMENTS)]), lambda e: F.get(F.col(v), F.pmod(at + e, size)))
-        ordered = F.array_sort(F.transform(picked, lambda x: F.struct(x.bitwiseAND(F.lit(POSITION)).alias("at"), x.bitwiseAND(high).alias("kmer"))))
-        return F.lpad(F.lower(F.hex(F.xxhash64(F.transform(ordered, lambda x: x["kmer"])).bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")
+    # Where each coordinate begins, once: the next step reads it several times.
+    df = df.withColumn(c, F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda j: first_at_least(F.col(v), j.cast("long") * F.lit(RANGE // m))))
 
-    whole = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda j: coordinate(j.cast("long"))), "")
+    def coordinate(at: Column) -> Column:
+        one, two = (F.get(F.col(v), F.pmod(at + e, size)) for e in range(ELEMENTS))
+        later = one.bitwiseAND(F.lit(POSITION)) > two.bitwiseAND(F.lit(POSITION))
+        pair = F.xxhash64(F.when(later, two).otherwise(one).bitwiseAND(high), F.when(later, one).otherwise(two).bitwiseAND(high))
+        return F.substring(F.hex(pair.bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseOR(F.lit(1 << 32))), 2, 8)
+
+    whole = F.lower(F.array_join(F.transform(c, coordinate), ""))
     df = df.withColumn(out, F.when(size > 0, whole).otherwise(F.lit("-" * 8 * m)))
     return df.drop(t, h, s, v, c)
 
@@ -115,7 +119,12 @@ def bucket_of(key: Column, bounds: list[int]) -> Column:
     """Number of the last bound that the key reaches: a binary search in a literal array."""
     steps = max(1, len(bounds)).bit_length()
     array = F.lit(bounds).cast(T.ArrayType(T.LongType()))
-    return F.aggregate(F.lit([1 << i for i in reversed(range(steps))]), F.lit(0), lambda at, step: F.when(F.coalesce(F.get(array, at + step) <= key, F.lit(False)), at + step).otherwise(at))
+    return F.aggregate(
+        F.lit([1 << i for i in reversed(range(steps))]),
+        F.lit(0),
+        lambda at,
+        step: F.when(F.coalesce(F.get(array, at + step) <= key, F.lit(False)), at + step).otherwise(at),
+    )
 
 
 def order_minhash(docs: DataFrame, k: int = 3, m: int = 64, buckets: int | None = None) -> DataFrame:
@@ -133,7 +142,15 @@ def order_minhash(docs: DataFrame, k: int = 3, m: int = 64, buckets: int | None
     # A bucket's first key is its bound; its rows also stand after the bucket before (the last one's is the first's).
     first = F.get(F.lit(bounds).cast(T.ArrayType(T.LongType())), F.col("own")) == F.col("key")
     before = F.pmod(F.col("own") - 1, F.lit(len(bounds)))
-    dealt = rows.select("doc_id", "key", "text", F.explode(F.when(first, F.array(F.struct(F.col("own").alias("bucket"), F.lit(0).alias("halo")), F.struct(before.alias("bucket"), F.lit(1).alias("halo")))).otherwise(F.array(F.struct(F.col("own").alias("bucket"), F.lit(0).alias("halo"))))).alias("to"))
+    dealt = rows.select(
+        "doc_id",
+        "key",
+        "text",
+        F.explode(F.when(
+            first,
+            F.array(F.struct(F.col("own").alias("bucket"), F.lit(0).alias("halo")), F.struct(before.alias("bucket"), F.lit(1).alias("halo"))),
+        ).otherwise(F.array(F.struct(F.col("own").alias("bucket"), F.lit(0).alias("halo"))))).alias("to"),
+    )
     dealt = dealt.select("doc_id", "key", "text", "to.bucket", "to.halo").repartition("bucket")
     printed = fingerprint_columns(dealt, "text", "fingerprint", k, m)
     order = Window.partitionBy("bucket").orderBy("halo", "key", "text")

@@ -23,7 +23,7 @@ def hash_longs(values, seed=42):
 def tokens_of(text, token=12):
     ideographs = "⺀-鿿가-힣豈-﫿\U00020000-\U0003ffff"
     letter, cut = rf"[^\s{ideographs}]", r"[aeiouyAEIOUY0-4\p{P}]"
-    pattern = rf"(?<!\S){letter}{{1,{token}}}(?!\S)|[{ideographs}]|{letter}{{3,{token + 3}}}?(?<={cut})|{letter}{{1,{token + 4}}}"
+    pattern = rf"[!-~]{{1,{token}}}+(?!\S)|{letter}{{1,{token}}}+(?!\S)|[{ideographs}]|{letter}{{3,{token + 3}}}?(?<={cut})|{letter}{{1,{token + 4}}}"
     return regex.findall(pattern.replace(r"\s", " \t\n\x0b\f\r").replace(r"\S", "[^ \t\n\x0b\f\r]"), text)
 
 
@@ -37,7 +37,7 @@ def fingerprint(text):
         seen[kmer] = seen.get(kmer, -1) + 1
         first = xxhash.xxh64(kmer.to_bytes(8, "little"), seed=42).intdigest()
         again = xxhash.xxh64(seen[kmer].to_bytes(4, "little"), seed=first).intdigest()
-        numbered.append((again & high, at))
+        numbered.append((again & high if seen[kmer] else kmer, at))
     numbered.sort()
     if not numbered:
         return "-" * 8 * M
