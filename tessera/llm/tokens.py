@@ -150,7 +150,8 @@ def worker_cache(path: str) -> WordCache:
 
 
 def forget() -> None:
-    """Frees what earlier stages left in this Python worker."""
+    """Frees what earlier stages left in this Python worker, and returns it to the system."""
+    import ctypes
     import gc
 
     import pyarrow as pa
@@ -158,3 +159,7 @@ def forget() -> None:
     _WORKER.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
