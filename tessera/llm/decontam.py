@@ -5,7 +5,8 @@
 2. A test window is its terms with their offsets, ordered from the rarest in the corpus.  The
    postings (term, row, position) of all windows' rarest terms, and of their second rarest where
    that list is at most ``LONGER`` times as long, are written as lists: sorted by term, row and
-   position over range partitions, so that a frequent term's list is spread over many of them.
+   position, and dealt by term and a share of the rows, so that a frequent term's list is spread
+   over ``SHARES`` parts.
 3. A window's lists, moved back by their offsets, are intersected: what is left starts in the
    same place of the same document.
 4. There the other terms are looked up at their offsets, from the next rarest on.  What
@@ -33,6 +34,7 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Windows, or texts' keys, of which a table is broadcast.
 MAX_BROADCAST = 100_000
 LONGER = 2
+SHARES = 64
 #: Bits of a filter of terms at most (half a megabyte), and for each term.
 MAX_BITS, BITS = 1 << 22, 16
 
@@ -68,20 +70,21 @@ def filter_of(terms: DataFrame):
 
 
 def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(row, doc_id, n_words, terms): each document's possible terms (term, at) in text order; written."""
+    """(row, doc_id, n_words, terms, ats): each document's possible terms and their positions in text order; written."""
     rows = columns(docs, doc_id="long", text="string").select(F.monotonically_increasing_id().alias("row"), "doc_id", word_hashes(F.col("text")).alias("h"))
     maybe = filter_of(terms)
     postings = F.filter(F.transform(F.col("h"), lambda h, i: F.struct(h.alias("term"), i.alias("at"))), lambda p: maybe(p["term"]))
-    return materialize(rows.select("row", "doc_id", F.size("h").cast("long").alias("n_words"), postings.alias("terms")), "index")
+    rows = rows.select("row", "doc_id", F.size("h").cast("long").alias("n_words"), postings.alias("p"))
+    return materialize(rows.select("row", "doc_id", "n_words", F.col("p.term").alias("terms"), F.col("p.at").alias("ats")), "index")
 
 
 def posting_lists(index: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, row, at, place): the lists of these terms in order; place: the posting's number among its document's; written."""
     maybe = filter_of(terms)
-    places = F.transform("terms", lambda p, i: F.struct(p["term"].alias("term"), p["at"].alias("at"), i.alias("place")))
+    places = F.transform("terms", lambda t, i: F.struct(t.alias("term"), F.get("ats", i).alias("at"), i.alias("place")))
     rows = index.select("row", F.inline(F.filter(places, lambda p: maybe(p["term"])))).select("term", "row", "at", "place")
-    order = [F.col("term"), F.col("row"), F.col("at")]
-    return materialize(rows.repartitionByRange(*order).sortWithinPartitions(*order), "postings")
+    dealt = rows.repartition(F.col("term"), F.pmod(F.xxhash64("row"), F.lit(SHARES)))
+    return materialize(dealt.sortWithinPartitions("term", "row", "at"), "postings")
 
 
 def find_windows(index: DataFrame, windows: DataFrame, window: int, slop: int = 0) -> DataFrame:
@@ -90,7 +93,7 @@ def find_windows(index: DataFrame, windows: DataFrame, window: int, slop: int =
     small = F.broadcast if known <= MAX_BROADCAST else (lambda df: df)
     entries = windows.select("wid", F.size("terms").alias("size"), F.posexplode("terms").alias("offset", "term"))
     used = entries.groupBy("term").agg(F.count("*").alias("windows"))
-    counts = index.select(F.explode("terms.term").alias("term")).join(small(used), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
+    counts = index.select(F.explode("terms").alias("term")).join(small(used), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
     counts = materialize(counts.join(used, "term"), "counts")
     entry = F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("offset"), F.col("term"))
     frequent = counts.where(F.col("windows") > max(1.0, window * known * HOT)).select("term")  # terms of many windows
@@ -119,11 +122,19 @@ def find_windows(index: DataFrame, windows: DataFrame, window: int, slop: int =
     both = both.join(small(ranked.select("wid", "by_count")), "wid")
     both = materialize(both.groupBy("row").agg(F.collect_list(F.struct("wid", "start", "size", "place", "by_count")).alias("found")), "starts")
 
-    reach = window - 1 + slop
-    near = lambda c: F.slice(F.col("terms"), F.greatest(c["place"] - reach, F.lit(0)) + 1, F.lit(2 * reach + 1))
-    there = lambda c, t, p: (p["term"] == t["term"]) & (F.abs(p["at"] - c["start"] - t["offset"]) <= slop)
-    whole = F.filter("found", lambda c: F.forall(c["by_count"], lambda t: F.exists(near(c), lambda p: there(c, t, p))))
-    hits = both.join(index.select("row", "terms"), "row").select("row", F.explode(whole).alias("c"))
+    # A term of the window lies among the document's possible terms as far from the first list's as in the text, or less far with ``slop``.
+    def there(c: Column, t: Column, i: Column) -> Column:
+        return (F.get("terms", i) == t["term"]) & (F.abs(F.get("ats", i) - c["start"] - t["offset"]) <= slop)
+
+    def found(c: Column, t: Column) -> Column:
+        place = c["place"] + t["offset"] - c["by_count"][0]["offset"]
+        if not slop:
+            return there(c, t, place)
+        reach = window - 1 + slop
+        return F.exists(F.sequence(F.greatest(c["place"] - reach, F.lit(0)), c["place"] + reach), lambda i: there(c, t, i))
+
+    whole = F.filter("found", lambda c: F.forall(c["by_count"], lambda t: F.coalesce(found(c, t), F.lit(False))))
+    hits = both.join(index.select("row", "terms", "ats"), "row").select("row", F.explode(whole).alias("c"))
     hits = materialize(hits.select("row", "c.wid", "c.start", "c.size").distinct(), "hits")
     discard(ranked, lists, postings, both, counts)
     return hits
@@ -131,6 +142,11 @@ def find_windows(index: DataFrame, windows: DataFrame, window: int, slop: int =
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, slop: int = 0) -> DataFrame:
     """Per document: n_words, n_hit, n_items, items_sha256, contaminated (and its row number)."""
+    return judge(docs, items, window, slop)[0]
+
+
+def judge(docs: DataFrame, items: DataFrame, window: int, slop: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The verdicts, and the written tables that they read."""
     found = item_windows(items, window)
     windows = materialize(found.groupBy("terms").agg(F.array_sort(F.collect_set("item_id")).alias("items")).withColumn("wid", F.xxhash64("terms")), "items")
     index = build_index(docs, windows.select(F.explode("terms").alias("term")).distinct())
@@ -145,10 +161,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, slop: int
     listed = listed.select("row", F.explode("items").alias("item")).distinct().groupBy("row").agg(F.array_sort(F.collect_list("item")).alias("items"))
     whole = sizes.join(marked, "row", "left").join(listed, "row", "left")
     names = F.coalesce(F.array_join("items", ","), F.lit(""))
-    return whole.select(
+    out = whole.select(
         "row", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
         F.sha2(names, 256).alias("items_sha256"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"),
     )
+    return out, [windows, index, hits]
 
 
 def clean_rows(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
@@ -159,8 +176,9 @@ def clean_rows(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame
     """
     name = free_name(docs, "_text")
     key = F.coalesce(F.xxhash64("text", F.lit(0)), F.lit(0))
-    judged = decontaminate(columns(docs, text="string").select(key.alias("doc_id"), "text"), items, window)
+    judged, read = judge(columns(docs, text="string").select(key.alias("doc_id"), "text"), items, window, 0)
     bad = materialize(judged.groupBy(F.col("doc_id").alias(name)).agg(F.max("contaminated").alias("bad"), F.count("*").alias("n")), "judged")
+    discard(*read)
     rows = docs.withColumn(name, key)
     if bad.where("bad").limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
         return rows.join(F.broadcast(bad.where("bad").select(name)), name, "left_anti").drop(name)
