@@ -211,7 +211,11 @@ def sketch(docs: DataFrame, shingle: int) -> DataFrame:
                         signs.append(None)
                         keys.append(None)
                         parts.append(None)
-                yield pa.RecordBatch.from_arrays([ids.slice(first, len(texts)), batch.column(1).slice(first, len(texts)), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(signs, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.int64()))], names=["doc_id", "row", "n_shingles", "node", "sign", "keys", "parts"])
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(first, len(texts)), batch.column(1).slice(first, len(texts)), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(signs, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.int64()))],
+                    names=["doc_id", "row", "n_shingles", "node", "sign", "keys", "parts"],
+                )
+        forget()
 
     return materialize(keyed(docs).mapInArrow(run, "doc_id long, row long, n_shingles long, node long, sign array<long>, keys array<long>, parts array<long>"), "sketch")
 
@@ -234,6 +238,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
                         kept.append(node)
                         values.append(found.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), pa.array(values, pa.binary())], names=["node", "values"])
+        forget()
 
     found = keyed(docs).join(wanted, "row").select("node", "text")
     return materialize(found.mapInArrow(run, "node long, values binary").dropDuplicates(["node"]), "sets")  # equal rows come twice
@@ -327,7 +332,10 @@ def shared_sizes(sets: DataFrame, classes: DataFrame) -> DataFrame:
     part = F.pmod(F.pmod("value", F.lit(PARTS)) + F.when(F.col("value") < 0, F.lit((1 << 64) % PARTS)).otherwise(F.lit(0)), F.lit(PARTS)).cast("int")
     unit = F.element_at(F.lit([1 << FIELD * i for i in range(3)]), F.col("part") % 3 + 1)
     own = own.select("node", part.alias("part")).select("node", F.floor(F.col("part") / 3).alias("at"), unit.alias("one"))
-    own = own.groupBy("node").agg(F.count("*").alias("own"), F.array(*[F.coalesce(F.sum(F.when(F.col("at") == i, F.col("one"))), F.lit(0).cast("long")) for i in range(PARTS // 3)]).alias("own_parts"))
+    own = own.groupBy("node").agg(
+        F.count("*").alias("own"),
+        F.array(*[F.coalesce(F.sum(F.when(F.col("at") == i, F.col("one"))), F.lit(0).cast("long")) for i in range(PARTS // 3)]).alias("own_parts"),
+    )
     found = classes.select("node", "n_shingles", "parts").join(own, "node", "left")
     left = F.when(F.col("own").isNull(), F.col("parts")).otherwise(F.zip_with("parts", "own_parts", lambda x, y: x - y))
     return found.select("node", (F.col("n_shingles") - F.coalesce("own", F.lit(0))).alias("shared"), left.alias("parts"))
