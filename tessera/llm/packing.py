@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tessera.llm.tokens import text_blocks, tokenizer_path, worker_cache
+from tessera.llm.tokens import CACHE_WORDS, forget, text_blocks, tokenizer_path, worker_cache
 from tessera.llm.util import columns
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -87,16 +87,19 @@ def sentence_end_ids(tokenizer: str) -> np.ndarray:
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, capacity: int = 2048, step: int = 32, sentence_cost: int = 4, inner_cost: int = 12, window_cost: int = 64, segment: int = 400_000
+    docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, capacity: int = 2048, step: int = 32, sentence_cost: int = 4, inner_cost: int = 12, window_cost: int = 64, segment: int = 400_000, cache_words: int = CACHE_WORDS
 ) -> DataFrame:
-    """One row per piece of a document: where it lies in its document and in its sequence."""
+    """One row per piece of a document: where it lies in its document and in its sequence.
+
+    With fewer ``cache_words`` than by default a worker also frees them after each task: slower, but smaller beside other stages.
+    """
     tokenizer = tokenizer or tokenizer_path()
     end = np.array([end_id], dtype="<u4").tobytes()
     if step > capacity:
         raise ValueError("step must be at most capacity")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, sequence = worker_cache(tokenizer), TaskContext.get().partitionId() << 32
+        cache, sequence = worker_cache(tokenizer, cache_words), TaskContext.get().partitionId() << 32
         closing = sentence_end_ids(tokenizer)
         names: list = []
         lens: list[int] = []
@@ -149,5 +152,8 @@ def pack_documents(
                         yield out
         if names and (out := solve(True)) is not None:
             yield out
+        if cache_words < CACHE_WORDS:
+            del cache
+            forget()
 
     return columns(docs, doc_id="long", text="string").mapInArrow(pack, SCHEMA)

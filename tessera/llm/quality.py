@@ -147,12 +147,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     chosen = docs.sparkSession.createDataFrame([(r["doc_id"], r["quality"]) for r in picked], "doc_id long, quality int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for first, texts in text_blocks(batch, chars=250_000):
                 x, counts = passage_features(texts)
                 ends = np.cumsum(counts)
                 bags = [x[a:b].tobytes() for a, b in zip(ends - counts, ends, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), batch.column(1).slice(first, len(texts)), pa.array(bags, pa.binary())], names=["doc_id", "quality", "bag"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(first, len(texts)), batch.column(1).slice(first, len(texts)), pa.array(bags, pa.binary())],
+                    names=["doc_id", "quality", "bag"],
+                )
 
     rows = columns(docs, doc_id="long", text="string").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
     rows = sorted(rows.mapInArrow(run, "doc_id long, quality int, bag binary").collect(), key=lambda r: (r["doc_id"], bytes(r["bag"])))
@@ -184,6 +188,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, ke
             for batch in batches:
                 got = [scores(texts) for _, texts in text_blocks(pa.RecordBatch.from_arrays([batch.column(at)], names=["text"]), chars=chars)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(got) if got else [], pa.float64())], names=[*batch.schema.names, name])
+            forget()
 
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
         return docs.mapInArrow(run_all, f"{fields}, `{name}` double").where(F.col(name) >= keep).drop(name)
@@ -193,6 +198,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, ke
         for batch in batches:
             for first, texts in text_blocks(batch, chars=chars):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(scores(texts), pa.float64())], names=["doc_id", "score"])
+        forget()
 
     out = columns(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, score double")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))

@@ -16,7 +16,7 @@ _DOUBLE = re.compile(r"\s\s")
 _CUT = re.compile(r"(?= )(?<=\S)")
 
 #: Words kept by a Python worker; when full the cache starts anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_000_000
 #: Longer words are encoded anew each time, so the cache is bounded in bytes too.
 LONGEST = 100
 
@@ -76,6 +76,7 @@ class WordCache:
     """Encodes whole texts to little-endian unsigned 32-bit ids."""
 
     def __init__(self, path: str):
+        self.most = CACHE_WORDS
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         import regex
@@ -108,7 +109,7 @@ class WordCache:
         return text.replace("\n", "").isprintable() or not _DOUBLE.search(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.spaced) + len(self.pieces) > CACHE_WORDS:
+        if len(self.spaced) + len(self.pieces) > self.most:
             self.reset()
         spaced, bare = self.spaced.__getitem__, self.bare.__getitem__
         out = []
@@ -142,10 +143,11 @@ def text_blocks(batch, text: str = "text", chars: int = 1_000_000):
 _WORKER: dict[str, WordCache] = {}
 
 
-def worker_cache(path: str) -> WordCache:
-    """One cache for each Python worker and tokenizer file."""
+def worker_cache(path: str, most: int = CACHE_WORDS) -> WordCache:
+    """One cache for each Python worker and tokenizer file, of at most about ``most`` words."""
     if path not in _WORKER:
         _WORKER[path] = WordCache(path)
+    _WORKER[path].most = most
     return _WORKER[path]
 
 
