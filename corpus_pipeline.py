@@ -55,7 +55,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     A null or empty text is its end token alone; rows that share an id are packed each; an empty table gives no pieces.
     """
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, cache_words=150_000)  # workers are shared with the other stages
 
 
 STAGES = [("quality", quality_stage), ("near_duplicates", near_duplicate_stage), ("decontamination", decontamination_stage), ("packing", packing_stage)]
