@@ -216,6 +216,46 @@ def test_search_options(spark):
         similarity.search(df, df, None, 0.9, bands=3)
 
 
+@pytest.mark.parametrize("most", [0, 1 << 30])
+def test_wide_search_equals_brute_force_over_any_number_of_slices(spark, most):
+    """Sparse and dense counts in 300 dimensions, near copies and a zero vector: the bound from fewer directions drops nothing."""
+    rng = np.random.default_rng(4)
+    data = rng.poisson(0.05, (50, 300)) + np.where(np.arange(50)[:, None] % 2, rng.normal(size=(50, 300)), 0)
+    data = np.vstack([data, data * 1.5 + (rng.random(data.shape) < 0.01), np.zeros((1, 300))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "item long, vector array<double>").repartition(3)
+    norms = np.linalg.norm(data, axis=1)
+    cosines = data @ data.T / np.maximum(np.outer(norms, norms), 1e-12)
+    assert similarity.kept_width(300, 0.9) < 300
+    want = {(i, j) for i, j in zip(*np.nonzero(cosines >= 0.9), strict=True)}
+    got = similarity.search(df, df, None, 0.9, max_broadcast=most).collect()
+    assert {(r["src"], r["dst"]) for r in got} == want and len(got) == len(want) > 150
+    got = {r["src"]: r["score"] for r in similarity.search(df, df, 5, None, True, max_broadcast=most, means=True).collect()}
+    np.fill_diagonal(cosines, -2)
+    best = np.sort(cosines, axis=1)[:, -5:].mean(axis=1)
+    assert [got[i] for i in range(len(data))] == pytest.approx(best.tolist())
+
+
+def test_lsh_with_full_buckets_compares_blocks_instead(spark, monkeypatch):
+    """Bands of one bit would join nearly all pairs in half of the bands each; the pairs found are the same."""
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(80, 8)))], "item long, vector array<double>")
+    signs = similarity.Signs(0.3, bands=2, bits=2)
+    rows = similarity.lsh_rows(df, signs)
+    want = {(r["src"], r["dst"]) for r in similarity.lsh_edges(rows, rows, 0.3, True).collect()}
+    monkeypatch.setattr(similarity, "lsh_edges", None)
+    found = similarity.search(df, df, None, 0.3, True, "lsh", bands=2, bits=2).collect()
+    assert {(r["src"], r["dst"]) for r in found} == want
+    every = similarity.search(df, df, None, 0.3, True).count()
+    assert 0 < len(want) < every
+
+
+def test_lsh_query_counts_a_vector_among_its_hundred(spark, tmp_path):
+    from tessera.plans.queries import lsh_edges_embeddings
+
+    spark.createDataFrame([(i, [1.0, i / 1000], 0) for i in range(130)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert {r["count"] for r in lsh_edges_embeddings(spark, str(tmp_path)).groupBy("src").count().collect()} == {99}
+
+
 def test_cap_keeps_the_best(spark):
     df = spark.createDataFrame([(i, [1.0, i / 1000]) for i in range(130)], "item long, vector array<double>")
     assert similarity.search(df, df, 100, 0.5).groupBy("src").count().agg({"count": "max"}).first()[0] == 100
