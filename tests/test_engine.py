@@ -90,6 +90,24 @@ def test_columns_and_payload(spark):
     assert len(found) == 1 and sorted(d["record"]["id"] for d in found[0]["duplicates"]) == [2, 3]
 
 
+def test_lists_of_duplicates_hold_the_named_fields(spark):
+    """Equal dropped records count once; a dropped record's own copies are pairs where their payload differs."""
+    rows = [{"id": i, "text": t, "tags": {"k": v}} for i, (t, v) in enumerate([("a", 1), ("a", 1), ("a", 2), ("a2", 3), ("a2", 4), ("b", 5)])]
+    for r in rows:
+        r["id"] = 1 if r["text"] == "a" else r["id"]
+    rows.insert(3, dict(rows[1]))
+    index = SemanticIndex.fit(rows, ["text"], encoder=TableEncoder(UNIT), spark=spark)
+    result = index.self_deduplicate(0.9)
+    listed = {r[POS]: r["duplicates"] for r in result.list_duplicates(["tags"]).collect()}
+    # Positions 1 and 3 are equal; 4 is near, 5 is its copy and names only its own key, which was dropped.
+    assert [d["record"].asDict() for d in listed[0]] == [{"tags": {"k": 1}}, {"tags": {"k": 2}}, {"tags": {"k": 3}}] and listed[6] == []
+    assert {r[POS] for r in result.selected_with_duplicates.collect()} == {0, 6}
+    pairs = sorted((r[POS], r["dup_pos"], r["exact"]) for r in result.pairs.collect())
+    assert [p for p in pairs if p[0] in (4, 5)] == [(4, 0, False), (4, 1, False), (4, 2, False), (4, 3, False), (4, 5, False), (5, 4, True)]
+    assert len(pairs) == 6 + 9
+    assert "to_json" not in result.links._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_null_and_empty_keys_differ(spark):
     df = spark.createDataFrame([(0, None), (1, ""), (2, None)], "n long, text string")
     from tessera.operators.exact import with_groups
