@@ -253,6 +253,42 @@ def test_wide_search_equals_brute_force_over_any_number_of_slices(spark, most):
     assert [got[i] for i in range(len(data))] == pytest.approx(best.tolist())
 
 
+@pytest.mark.parametrize("means", [False, True])
+def test_search_in_rounds_carries_a_bounded_number_of_lists(spark, monkeypatch, means):
+    """Over several slices, the lists of a round's blocks alone are handed on, and the result is that of one round."""
+    data = np.random.default_rng(8).normal(size=(120, 6))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "item long, vector array<double>").repartition(6)
+    key = lambda rows: {tuple(round(x, 9) for x in r) for r in rows}
+    want = key(similarity.search(df, df, 7, None, True, means=means).collect())
+    for name in ("AT_ONCE", "MAX_CARRIED"):
+        monkeypatch.setattr(similarity, name, 1)
+    monkeypatch.setattr(similarity, "BLOCK", 4)
+    carried, write = [], similarity.materialize
+
+    def counted(rows, name, *path):
+        out = write(rows, name, *path)
+        if name == "best":
+            carried.append(out.count())
+        return out
+
+    monkeypatch.setattr(similarity, "materialize", counted)
+    found = similarity.search(df, df, 7, None, True, max_broadcast=2000, means=means).collect()
+    assert key(found) == want and len(found) == (120 if means else 840)
+    most = 3 * spark.sparkContext.defaultParallelism
+    assert carried and max(carried) <= most < 120 // 4
+
+
+def test_fitted_embeddings_are_written_once(spark, monkeypatch):
+    from tessera.plans import index as plans
+
+    written, write = [], plans.materialize
+    monkeypatch.setattr(plans, "materialize", lambda rows, name: written.append((name, rows.columns)) or write(rows, name))
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 2.0])], "item long, e array<float>")
+    index = SemanticIndex.fit_embeddings(df, "e", ["item"], order_by="item")
+    assert written == [("records", ["item", "e", "_pos", "group_pos"])]
+    assert dict(index.vectors.dtypes) == {"item": "bigint", "vector": "array<double>"} and index.vectors.count() == 3
+
+
 def test_lsh_with_full_buckets_compares_blocks_instead(spark, monkeypatch):
     """Bands of one bit would join nearly all pairs in half of the bands each; the pairs found are the same."""
     rng = np.random.default_rng(6)
