@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.tokens import text_blocks, tokenizer_path, worker_cache
+from tessera.llm.tokens import column_blocks, tokenizer_path, worker_blocks
 from tessera.llm.util import columns, fresh_path
 
 RUN = 128
@@ -43,27 +43,34 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(words, offset of each run's first word) of unsigned 64-bit ids."""
     n = len(ids)
     runs = -(-n // RUN)
-    data = np.zeros((runs, RUN + 120), dtype=np.uint64)
+    width = RUN + 120
+    data = np.zeros((runs, width), dtype=np.uint64)
     flat = np.zeros(runs * RUN, dtype=np.uint64)
     flat[:n] = ids
     data[:, :RUN] = flat.reshape(runs, RUN)
     length = np.full(runs, RUN)
     if runs:
         length[-1] = n - RUN * (runs - 1)
-    best = np.zeros((runs, RUN), dtype=np.uint8)  # selector that packs most ids from here
     top = int(ids.max()) if n else 0
+    least = np.full((runs, RUN), 16, dtype=np.uint8)  # the lowest selector each id has bits for is 16 less a count
+    need = np.zeros((runs, width), dtype=np.uint8)  # how many of the selectors 1 to 15 are too narrow for an id
+    small = flat.astype(np.uint32) if top < 1 << 32 else flat
+    narrow = np.zeros(runs * RUN, dtype=np.uint8)
+    for sel in range(1, 16):
+        if top >= (1 << int(BITS[sel])):
+            narrow += small >= small.dtype.type(1 << int(BITS[sel]))
+    need[:, :RUN] = narrow.reshape(runs, RUN)
+    # The most that the next ids need, for spans that double; any count is two such spans. Past the run's end there are zeros.
+    # Whatever fits a selector fits all higher ones, which hold fewer and wider ids.
+    span, most = 1, need
     for sel in range(15, 0, -1):
-        bits, count = int(BITS[sel]), int(COUNTS[sel])
-        if top < (1 << bits):
-            best[:] = sel
-            continue
-        fits, span = data < np.uint64(1 << bits), 1  # past the run's end there are zeros
-        while span < count and fits.any():
-            shift = min(span, count - span)
-            fits = fits[:, :-shift] & fits[:, shift:]
-            span += shift
-        if span == count:
-            best[fits[:, :RUN]] = sel
+        count = int(COUNTS[sel])
+        while 2 * span <= count:
+            most, span = np.maximum(most[:, :-span], most[:, span:]), 2 * span
+        far = count - span
+        here = most[:, :RUN] if far == 0 else np.maximum(most[:, :RUN], most[:, far : far + RUN])
+        least -= here < sel
+    best = np.where(least == 16, 0, least).astype(np.uint8)
     # The chains of starts, all runs in step; then every selector's words at once.
     at, col, live = np.zeros(runs, dtype=np.int64), np.zeros(runs, dtype=np.int64), np.flatnonzero(length > 0)
     steps = []
@@ -74,28 +81,28 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at[live] = here + COUNTS[sels]
         col[live] += 1 + (sels == 0)
         live = live[at[live] < length[live]]
-    words = np.zeros((runs, 2 * RUN), dtype=np.uint64)
+    offsets = np.cumsum(col) - col
+    words = np.zeros(int(col.sum()), dtype=np.uint64)
     if steps:
         run, start, to, sels = map(np.concatenate, zip(*steps, strict=True))
-        flat, start = data.ravel(), run * data.shape[1] + start
+        flat, start, to = data.ravel(), run * width + start, offsets[run] + to
         for sel in np.unique(sels):
             rows = np.flatnonzero(sels == sel)
+            first, into = start[rows], to[rows]
             if sel == 0:
-                words[run[rows], to[rows] + 1] = flat[start[rows]]
+                words[into + 1] = flat[first]
                 continue
             value = np.full(len(rows), np.uint64(int(sel) << 60))
             for k in range(int(COUNTS[sel]) if BITS[sel] else 0):
-                value |= flat[start[rows] + k] << np.uint64(k * int(BITS[sel]))
-            words[run[rows], to[rows]] = value
-    keep = np.arange(2 * RUN) < col[:, None]
-    offsets = np.concatenate([[0], np.cumsum(col)])[:-1] if runs else np.zeros(0)
-    return words[keep], offsets.astype(np.int32)
+                value |= flat[first + k] << np.uint64(k * int(BITS[sel]))
+            words[into] = value
+    return words, offsets.astype(np.int32)
 
 
 def unpack(words: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
     """The ids again: every selector's words are decoded at once, each run from its own offset."""
-    runs = len(offsets)
-    out = np.zeros((runs, RUN + 120), dtype=np.uint64)
+    runs, width = len(offsets), RUN + 120
+    out = np.zeros(runs * width, dtype=np.uint64)
     sel = (words >> np.uint64(60)).astype(np.int64)
     raw = np.zeros(len(words), dtype=bool)
     for i in np.flatnonzero(sel == 0):
@@ -104,47 +111,52 @@ def unpack(words: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
     count = np.where(raw, 0, COUNTS[sel])
     run = np.repeat(np.arange(runs), np.diff(np.append(offsets, len(words))))
     before = np.cumsum(count) - count
-    at = before - before[offsets[run]] if len(words) else before
-    for s in np.unique(sel[~raw]) if len(words) else []:
+    at = run * width + (before - before[offsets[run]] if len(words) else before)
+    for s in np.flatnonzero(np.bincount(sel[~raw], minlength=16)):
         rows = np.flatnonzero((sel == s) & ~raw)
         if s == 0:
-            out[run[rows], at[rows]] = words[rows + 1]
+            out[at[rows]] = words[rows + 1]
             continue
-        bits = int(BITS[s])
+        bits, value, to = int(BITS[s]), words[rows], at[rows]
         for k in range(int(COUNTS[s]) if bits else 0):
-            out[run[rows], at[rows] + k] = (words[rows] >> np.uint64(k * bits)) & np.uint64((1 << bits) - 1)
-    return out[:, :RUN].ravel()[:n]
+            out[to + k] = (value >> np.uint64(k * bits)) & np.uint64((1 << bits) - 1)
+    return out.reshape(runs, width)[:, :RUN].ravel()[:n]
 
 
 def encode_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, block_ids: int = 400_000) -> DataFrame:
     """Block rows of all documents: range-partitioned and sorted by ``doc_id``, one shard a partition."""
     tokenizer = tokenizer or tokenizer_path()
-    end = np.array([end_id], dtype="<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, start = TaskContext.get().partitionId(), 0
-        cache = worker_cache(tokenizer)
+        encoder = worker_blocks(tokenizer)
         schema = pa.schema([("shard", pa.int32()), ("shard_start", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_lens", pa.list_(pa.int32())), ("words", pa.binary()), ("offsets", pa.list_(pa.int32()))])
         keys: list = []
-        parts: list[bytes] = []
+        lens: list[int] = []
+        parts: list[np.ndarray] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal keys, parts, size, start
-            ids = np.frombuffer(b"".join(parts), dtype="<u4").astype(np.uint64)
-            words, offsets = pack(ids)
-            row = [shard, start, len(ids), keys, [len(p) // 4 for p in parts], words.astype("<u8").tobytes(), offsets]
-            start += len(ids)
-            keys, parts, size = [], [], 0
+            nonlocal keys, lens, parts, size, start
+            words, offsets = pack(np.concatenate(parts))
+            row = [shard, start, size, keys, lens, words.astype("<u8").tobytes(), offsets]
+            start += size
+            keys, lens, parts, size = [], [], [], 0
             return pa.RecordBatch.from_arrays([pa.array([v], type=f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
 
         for batch in batches:
             names = batch.column(0).to_pylist()
-            for first, texts in text_blocks(batch):
-                for i, ids in enumerate(cache.encode(texts)):
-                    keys.append(names[first + i])
-                    parts.append(ids + end)
-                    size += len(ids) // 4 + 1
+            for first, texts in column_blocks(batch.column(1)):
+                ids, each = encoder.encode(texts, end_id)
+                ends, done = np.cumsum(each), 0  # done: documents of these texts that are taken
+                while done < len(each):
+                    taken = int(ends[done - 1]) if done else 0
+                    past = min(len(each), int(np.searchsorted(ends, taken + block_ids - size)) + 1)
+                    keys += names[first + done : first + past]
+                    lens += each[done:past].tolist()
+                    parts.append(ids[taken : ends[past - 1]])
+                    size += len(parts[-1])
+                    done = past
                     if size >= block_ids:
                         yield flush()
         if keys:

@@ -3,10 +3,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import htmltext, neardup, packing, quality, simple8b
-from tessera.llm.tokens import WordCache, tokenizer_path
+from tessera.llm.tokens import BlockEncoder, WordCache, column_blocks, tokenizer_path
 
 ODD = ["", " ", "  a  b \n\n c", "\n", "a\n b", "a\n\tb\x1c\x1d c\x85d", "don't  we'll  x　 y", "<|endoftext|> hi", "日本語 テキスト１２ 3", "a \n", "x\r\n y\r\n", "\x00\x01 \x7f", "😀 😀😀\n 👩", "word " * 5000]
 
@@ -21,6 +22,57 @@ def test_word_cache_equals_the_tokenizer():
         assert np.frombuffer(ids, "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_block_encoder_equals_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    rng = random.Random(2)
+    bits = ["'s", "'t", "'re", "'ve", "'ll", "'", " ", " ", "\n", "\t", "\x1c", "\x85", "\xa0", "a", "street", "é", "日本", "\u0301", "😀", "१", "½", "7", ".", ",", "***", "ÿ", "\x00", "<|endoftext|>"]
+    texts = [None, *ODD, "'s" * 500, "ab, " * 2000, *("".join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(3000))]
+    tok, encoder = Tokenizer.from_file(tokenizer_path()), BlockEncoder(tokenizer_path())
+    encoder.most = 300  # generations go by
+    for kind in (pa.string(), pa.large_string()):
+        column, done = pa.array(["left out", *texts], kind).slice(1), 0
+        for first, part in column_blocks(column, most=9_000):
+            assert first == done and (len(part) == 1 or sum(len((t or "").encode()) for t in part.to_pylist()) <= 9_000)
+            done += len(part)
+            ids, each = encoder.encode(part, 7)
+            for text, got in zip(part.to_pylist(), np.split(ids, np.cumsum(each)), strict=False):
+                assert got.tolist() == [*tok.encode(text or "", add_special_tokens=False).ids, 7], repr(text)
+        assert done == len(texts)
+    # Another pattern, or no byte that stands apart: text by text, piece by piece.
+    expected = encoder.encode(pa.array(texts), 7)[0].tolist()
+    for known in (False, True):
+        other = BlockEncoder(tokenizer_path())
+        other.known, other.mark = known, None
+        assert other.encode(pa.array(texts), 7)[0].tolist() == expected
+
+
+def test_block_encoder_merges_each_piece_once(monkeypatch):
+    encoder, merged, seen = BlockEncoder(tokenizer_path()), BlockEncoder.merged, []
+    monkeypatch.setattr(BlockEncoder, "merged", lambda self, pieces: seen.extend(pieces) or merged(self, pieces))
+    encoder.encode(pa.array(["one two, two. two!\ntwo two; one", "one two's"]), 0)
+    encoder.encode(pa.array(["one two. two\none two,"]), 0)
+    assert sorted(seen) == sorted(["one", " two", ",", ".", "!", "\n", "two", ";", " one", "'s"])
+
+
+def test_simple8b_words_are_greedy():
+    rng = np.random.default_rng(8)
+    for n, bits in [(1, 1), (300, 16), (300, 61), (700, 9)]:
+        ids = rng.integers(0, 1 << bits, n, dtype=np.uint64) >> rng.integers(0, bits, n).astype(np.uint64)
+        ids[: n // 3] = 0
+        expected, starts = [], []
+        for a in range(0, n, simple8b.RUN):
+            run = ids[a : a + simple8b.RUN].tolist()
+            starts.append(len(expected))
+            while run:
+                sel = next((s for s in range(1, 16) if all(v < 1 << int(simple8b.BITS[s]) for v in run[: simple8b.COUNTS[s]])), 0)
+                k = int(simple8b.COUNTS[sel])
+                expected += [0, run[0]] if sel == 0 else [sel << 60 | sum(v << i * int(simple8b.BITS[sel]) for i, v in enumerate(run[:k]))]
+                run = run[k:]
+        words, offsets = simple8b.pack(ids)
+        assert words.tolist() == expected and offsets.tolist() == starts
+
+
 @pytest.mark.parametrize("n", [0, 1, 127, 128, 129, 3000])
 @pytest.mark.parametrize("top", [1, 2, 200, 50_257, 1 << 62])
 def test_simple8b_round_trip(n, top):

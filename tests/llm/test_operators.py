@@ -71,6 +71,18 @@ def test_simple8b(docs, none):
     assert simple8b.simple8b_corpus(none).count() == 0
 
 
+def test_simple8b_blocks(docs):
+    """Documents of one slice go to several blocks, and slices to one."""
+    rows = [r for r in simple8b.encode_documents(docs.coalesce(1), block_ids=5_000).collect() if r["n_ids"]]
+    lens = {}
+    for r in rows:
+        assert sum(r["doc_lens"]) == r["n_ids"] and sum(r["doc_lens"][:-1]) < 5_000
+        ids = simple8b.block_ids(r["words"], r["offsets"], r["n_ids"])
+        for i, part in zip(r["doc_ids"], np.split(ids, np.cumsum(r["doc_lens"])), strict=False):
+            lens.setdefault(i, []).append(part.tolist())
+    assert len(rows) > 1 and {i: sorted(v) for i, v in lens.items()} == {i: sorted(ids_of(t, 0) for k, t in ROWS if k == i) for i, _ in ROWS}
+
+
 def brute_components(rows, size, percent):
     sets = []
     for _, text in rows:
