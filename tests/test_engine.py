@@ -4,10 +4,12 @@ import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tessera import SemanticIndex, Strategy, TableEncoder
-from tessera.operators import greedy, similarity
+from tessera.operators import components, greedy, similarity
 from tessera.operators.diversify import candidate_limit, diversify
+from tessera.sources import tables
 from tessera.sources.tables import POS
 
 UNIT = {"a": [1.0, 0.0], "a2": [0.96, 0.28], "b": [0.0, 1.0], "zero": [0.0, 0.0], "far": [-1.0, 0.0]}
@@ -63,6 +65,38 @@ def test_greedy_components_and_rounds_equal_the_sequential_rule(spark, most):
     assert {r["src"] for r in greedy.dropped_items(edges, most).collect()} == sequential(lists)
 
 
+@pytest.mark.parametrize(("most", "early"), [(12, 0), (0, 1)])
+def test_greedy_early_rounds_leave_the_rest_to_components(spark, most, early):
+    rng = np.random.default_rng(6)
+    lists = {i: {i, *(int(x) for x in rng.integers(i // 20 * 20, i // 20 * 20 + 20, i // 20))} for i in range(120)}
+    edges = spark.createDataFrame([(i, j) for i, l in lists.items() for j in l], "src long, dst long")
+    assert {r["src"] for r in greedy.dropped_items(edges, most, early).collect()} == sequential(lists)
+
+
+def test_components_tell_many_links_apart(spark):
+    """The sum of so many hashes would not fit a long."""
+    links = spark.range(40_000_000).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
+    n, seen = components.state(links)
+    assert n == 40_000_000 and (n, seen) != components.state(links.withColumn("v", F.col("v") + (F.col("u") == 7).cast("long")))
+
+
+def test_pairs_are_the_same_by_broadcast_and_by_shuffle(spark, monkeypatch):
+    named = ["a x", "a y", "a2 x", "a2 y", "a2 x", "b x", "b x", "zero x", "far x"]
+    rows = [{"text": t, "tag": g} for t, g in map(str.split, named)]
+
+    def all_of():
+        result = SemanticIndex.fit(rows, ["text"], encoder=TableEncoder(UNIT), spark=spark).self_deduplicate(0.9)
+        raised = result.rethreshold(0.97)
+        pairs = [sorted(map(tuple, r.pairs.select(POS, "dup_pos", F.round("score", 6), "exact").collect())) for r in (result, raised)]
+        lists = sorted((r["text"], [d["record"]["tag"] for d in r["duplicates"]]) for r in result.selected_with_duplicates.collect())
+        return pairs, lists, sorted(map(tuple, raised.decisions.select(POS, "status").collect()))
+
+    once = all_of()
+    assert [(p, d) for p, d, _, _ in once[0][0]] == [(1, 0), (2, 0), (2, 1), (2, 3), (3, 2), (3, 4), (4, 2), (4, 3), (6, 5)]
+    monkeypatch.setattr(tables, "FEW", -1)
+    assert all_of() == once
+
+
 def test_greedy_walk_of_a_long_chain(spark):
     lists = {i: {i, max(0, i - 1), min(1999, i + 1)} for i in range(2000)}
     edges = spark.createDataFrame([(i, j) for i, l in lists.items() for j in l], "src long, dst long").repartition(3)
